@@ -33,7 +33,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the hash's base and of its inverse."""
     if not _powers or len(_powers[0]) < n:
         n = max(n, BLOCK + 4096)
         _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b)])) for b in (_BASE, _BACK)]
@@ -46,7 +47,7 @@ def _block(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     flag[1:-1] = _WORD[raw]
     turn = np.diff(flag)
     start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-    up, down = _power(len(raw) + 1)
+    up, down = powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
     return mix((total[end] - total[start]) * down[start]), start
