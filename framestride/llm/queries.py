@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, fingerprints, language_id, line_dedup, near_dedup, packing, warc
+from . import bpe, embedding_dedup, fingerprints, language_id, line_dedup, near_dedup, packing, token_counts, warc
 from .shared import table
 
 
@@ -41,6 +41,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    names = ["byte_bpe_50k", "byte_bpe_multi_50k"]
+    versions = [(name, public_tokenizers.path(f"{name}.tiktoken")) for name in names]
+    return token_counts.maintained(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"), versions, public_tokenizers.PATTERN)
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.groups(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
