@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, fingerprints, language_id, line_dedup, near_dedup, packing, token_counts, warc
+from . import bpe, embedding_dedup, fingerprints, language_id, licenses, line_dedup, near_dedup, packing, token_counts, warc
 from .shared import table
 
 
@@ -53,6 +53,10 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.groups(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.pages(table(spark, sf_dir, "pages", "page_id", "url", "html"), table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
