@@ -10,6 +10,7 @@ its window by its rank among the pieces of its length, and ranks are counted in
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,80 +27,122 @@ END = 1
 #: Pieces of one length that are ranked in one bucket, about.
 BUCKET = 50_000
 #: Words whose ids a worker remembers, in each of two generations.
-REMEMBER = 250_000
+REMEMBER = 500_000
+
+
+#: Stands for the mark of a word's end; no byte of UTF-8 has this value.
+MARK = b"\xff"
+
+
+def _alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, then the rest."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(own))}
+
+
+@lru_cache(maxsize=2)
+def merge_ranks(path: str) -> tuple[dict[bytes, int], list[int]] | None:
+    """(ranks by bytes, ids by rank) that merge words as the tokenizer file does, or None if that isn't sure.
+
+    The file merges listed pairs, in their order; ranks by bytes merge any pair whose bytes together
+    are a token. Both give the same ids if no token comes from two pairs and the listed merges take
+    every token's own characters to that token: a pair that only the ranks would merge would, in a
+    token of its own, be left in two parts by the listed merges, since what merges within a stretch
+    that no merge crosses does not depend on what lies around it.
+    """
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model, of, mark = told["model"], _alphabet(), told["model"].get("end_of_word_suffix")
+    steps = [x["type"] for x in (told["normalizer"] or {}).get("normalizers", [])]
+    if model.get("type", "BPE") != "BPE" or mark != "</w>" or steps != ["NFC", "Replace", "Lowercase"] or model.get("dropout") or model.get("ignore_merges") or model.get("byte_fallback"):
+        return None
+    bare = lambda t: bytes(of[c] for c in t.removesuffix(mark)) + MARK * t.endswith(mark)
+    pairs = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
+    rank = {p: i for i, p in enumerate(pairs)}
+    tokens = [bytes([b]) for b in range(256)] + [bytes([b]) + MARK for b in range(255)] + [bare(a) + bare(b) for a, b in pairs]
+    if len(set(tokens)) < len(tokens):
+        return None
+    for a, b in pairs:
+        whole = a + b
+        parts = list(whole.removesuffix(mark))
+        if whole.endswith(mark):
+            parts[-1] += mark
+        while len(parts) > 1:
+            least, at = min((rank.get(p, 1 << 30), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
+            if least == 1 << 30:
+                return None
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    ids = {bare(t): i for t, i in model["vocab"].items() if all(c in of for c in t.removesuffix(mark))}
+    return {t: i for i, t in enumerate(tokens)}, [ids.get(t, -1) for t in tokens]
 
 
 class WordIds(dict):
     """Ids (as little-endian bytes) of the words between white space, for a tokenizer that drops white space.
 
     Such a tokenizer gives a text the ids of its words in turn, so each word is encoded once while it
-    is remembered. A word that ends in a letter and then full stops or commas has the ids of both parts.
+    is remembered. A letter and a full stop or comma after it are never in one token. Words of the
+    letters up to U+00FF, on which lower case and composition act one by one, are merged by
+    merge_ranks() where there are any; all others are given to the tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: tuple[dict[bytes, int], list[int]] | None):
+        import tiktoken
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.old: dict[str, bytes] = {}
+        self.merge = None
+        if ranks:
+            self.merge = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks[0], special_tokens={})._core_bpe.encode_single_piece
+            self.raw = [(i % (1 << 32)).to_bytes(4, "little") for i in ranks[1]]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = got = self.old.get(word) or self.encode([word])[0]
+        got = self.old.get(word)
+        if got is None:
+            if word[-1] in ".," and word[-2:-1].isalpha():
+                got = self[word[:-1]] + self[word[-1]]
+            elif self.merge and word.isalpha() and max(word) <= "\xff":
+                raw = self.raw
+                got = b"".join([raw[i] for i in self.merge(word.lower().encode() + MARK)])
+            else:
+                got = self.encode(word)
+        self[word] = got
         return got
 
-    def learn(self, words: set[str]) -> None:
+    def trim(self) -> None:
+        """Forget what has not been met since the last time that there were too many words."""
         if len(self) > REMEMBER:
             self.old = dict(self)
             self.clear()
-        new, ends = set(), []
-        for w in words:
-            if w not in self:
-                if (got := self.old.get(w)) is not None:
-                    self[w] = got
-                    continue
-                stem = w.rstrip(".,")
-                if stem is not w and stem and stem[-1].isalpha():
-                    ends.append((w, stem))
-                    if stem not in self:
-                        new.add(stem)
-                else:
-                    new.add(w)
-        new = list(new)
-        self.update(zip(new, self.encode(new), strict=True))
-        for w, stem in ends:
-            self[w] = self[stem] + self[w[len(stem) :]]
 
 
-@lru_cache(maxsize=2)
-def _words(path: str) -> WordIds:
-    return WordIds(path)
+_known: dict[str, WordIds] = {}
 
 
 #: What Python's split() takes for white space and the tokenizer does not.
 _ODD = tuple("\x1c\x1d\x1e\x1f")
 
 
-def ids(texts: list[str | None], path: str) -> list[bytes]:
+def ids(texts: list[str | None], path: str, ranks: tuple | None = None) -> list[bytes]:
     """The ids of each text as little-endian 32-bit numbers, without special tokens added."""
-    known = _words(path)
-    texts = [t or "" for t in texts]
-    split = [None if any(c in t for c in _ODD) else t.split() for t in texts]
-    known.learn(set().union(*(x for x in split if x)))
+    known = _known.get(path) or _known.setdefault(path, WordIds(path, ranks))
+    known.trim()
     get = known.__getitem__
-    return [known.encode([t])[0] if x is None else b"".join(map(get, x)) for t, x in zip(texts, split, strict=True)]
+    return [known.encode(t) if any(c in t for c in _ODD) else b"".join(map(get, t.split())) for t in (t or "" for t in texts)]
 
 
-def _pieces(path: str, size: int, end: int):
+def _pieces(path: str, ranks: tuple | None, size: int, end: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = int(end).to_bytes(4, "little")
         for part in parts:
             texts = part.column(1).to_pylist()
             for a, b in shingles.batches(texts):
                 row, start, length, crc, total = [], [], [], [], []
-                for i, x in enumerate(ids(texts[a:b], path), a):
+                for i, x in enumerate(ids(texts[a:b], path, ranks), a):
                     x = x + last
                     n = len(x) // 4
                     for at in range(0, n, size):
@@ -193,7 +236,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFr
     read; no documents give no pieces.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    piece = docs.select("doc_id", "text").mapInArrow(_pieces(path, size, end), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    piece = docs.select("doc_id", "text").mapInArrow(_pieces(path, merge_ranks(path), size, end), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
     piece = shared.cut(piece, "pack-pieces")
     count = {r["length"]: r["count"] for r in piece.groupBy("length").count().collect()}  # at most `size` rows
     rows = plan(count, size)
