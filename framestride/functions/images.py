@@ -125,9 +125,11 @@ def decode_png(blob: bytes) -> np.ndarray:
     most = sum(-(-(h - y0) // dy) * (line(-(-(w - x0) // dx)) + 1) for x0, y0, dx, dy in _PASSES if w > x0 and h > y0) if interlace else h * (line(w) + 1)
     try:
         pack = zlib.decompressobj()
-        raw = np.frombuffer(pack.decompress(b"".join(data), most), np.uint8)
+        raw = np.frombuffer(pack.decompress(b"".join(data), most + 64), np.uint8)
     except zlib.error as e:
         raise DatasetError("PNG image data does not inflate") from e
+    if not pack.eof:
+        raise DatasetError("PNG image data is truncated or too long")
     step = max(1, channels * bits // 8)
     if interlace:
         pixels, at = np.zeros((h, w, channels), np.uint16 if bits == 16 else np.uint8), 0
@@ -201,10 +203,13 @@ def decode_tiff(blob: bytes) -> np.ndarray:
             raise fail("has a strip outside the file")
         strip = blob[start : start + size]
         if packing != 1:
+            pack = zlib.decompressobj()
             try:
-                strip = zlib.decompressobj().decompress(strip, want)
+                strip = pack.decompress(strip, want + 64)
             except zlib.error as e:
                 raise fail("strip does not inflate") from e
+            if not pack.eof:
+                raise fail("strip is truncated or too long")
         if len(strip) < want:
             raise fail("strip is truncated")
         out.append(strip[:want])

@@ -35,8 +35,8 @@ class Stats:
         return self.exact[name] if self.exact else self.values[name].tolist()
 
 
-def quantiles(x: np.ndarray, low, high) -> tuple[dict[str, float], bool]:
-    """Quantiles of one dimension by a histogram of BINS bins from low to high; whether any was interpolated."""
+def quantiles(x: np.ndarray, low, high) -> tuple[dict[str, float], set[str]]:
+    """Quantiles of one dimension by a histogram of BINS bins from low to high; those that were interpolated."""
     kind = x.dtype.type
     low, high = low - kind(1e-10), high + kind(1e-10)
     step = (high - low) / kind(BINS)
@@ -45,7 +45,7 @@ def quantiles(x: np.ndarray, low, high) -> tuple[dict[str, float], bool]:
     at = np.clip(np.searchsorted(edges, x, "right") - 1, 0, BINS - 1)
     count = np.bincount(at, minlength=BINS)
     total = np.cumsum(count)
-    out, between = {}, False
+    out, between = {}, set()
     for name, q in QUANTILES.items():
         want = q * float(len(x))
         b = int(np.searchsorted(total, want, "left"))
@@ -56,7 +56,7 @@ def quantiles(x: np.ndarray, low, high) -> tuple[dict[str, float], bool]:
         else:
             part = (want - float(total[b] - count[b])) / float(count[b])
             out[name] = float(edges[b]) + part * float(edges[b + 1] - edges[b])
-            between = True
+            between.add(name)
     return out, between
 
 
@@ -98,9 +98,10 @@ def visual(samples: np.ndarray, is_depth: bool) -> Stats:
     scale = np.float32(255)
     for s in ("min", "max", "mean", "std"):
         out.values[s] = (out.values[s].astype(np.float32) / scale).astype(np.float64)
-    plain = x.shape[1] == 1 or not any(quantiles(np.ascontiguousarray(c), c.min(), c.max())[1] for c in x)
+    # A quantile that is interpolated in any channel is float64 in all, which decides how it is divided.
+    between = set() if x.shape[1] == 1 else set().union(*(quantiles(np.ascontiguousarray(c), c.min(), c.max())[1] for c in x))
     for s in QUANTILES:
-        out.values[s] = (out.values[s].astype(np.float32) / scale).astype(np.float64) if plain else out.values[s] / 255.0
+        out.values[s] = out.values[s] / 255.0 if s in between else (out.values[s].astype(np.float32) / scale).astype(np.float64)
     return out
 
 
