@@ -11,6 +11,7 @@ points of the cell stream past each block as matrix products in double precision
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -59,8 +60,27 @@ def cells(x: np.ndarray, centre: np.ndarray, threshold: float = THRESHOLD) -> tu
     return point, cell, home[point] == cell
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in column.to_pylist()])
+def _unit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(vec_id, label, v, h): unit vectors and their hash; v is null where a vector can be linked with nothing."""
+    for part in parts:
+        column = part.column("embedding")
+        flat = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
+        at = column.offsets.to_numpy()
+        size = np.where(column.is_valid().to_numpy(zero_copy_only=False) & part.column("label").is_valid().to_numpy(zero_copy_only=False), np.diff(at), 0)
+        out: list = [None] * part.num_rows
+        for width in set(size.tolist()) - {0}:
+            own = np.flatnonzero(size == width)
+            x = flat[at[own][:, None] + np.arange(width)]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                # Scaled by the largest component first, so that no square overflows or vanishes.
+                top = np.abs(x).max(1, keepdims=True)
+                x = x / top
+                x = x / np.sqrt((x * x).sum(1, keepdims=True)) + 0.0
+            sound = np.isfinite(top[:, 0]) & (top[:, 0] > 0) & np.isfinite(x).all(1)
+            for i, v in zip(own[sound], x[sound], strict=True):
+                out[i] = v
+        h = [None if v is None else hashlib.md5(v.tobytes()).digest() for v in out]
+        yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("label"), pa.array(out, pa.list_(pa.float64())), pa.array(h, pa.binary())], ["vec_id", "label", "v", "h"])
 
 
 def _assign(centre: np.ndarray, threshold: float):
@@ -153,19 +173,12 @@ def groups(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     not read; an empty table gives no rows.
     """
     spark = vectors.sparkSession
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    base = vectors.select("vec_id", "label", v.alias("v"))
-    top = F.array_max(F.transform("v", F.abs))
-    sound = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (top > 0)
-    # Scaled by the largest component first, so that no square overflows or vanishes.
-    scaled = F.transform("v", lambda x: x / top)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    good = base.where(F.coalesce(sound, F.lit(False))).withColumn("v", F.transform(scaled, lambda x: x / norm + F.lit(0.0)))
-    keyed = good.withColumn("h", F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256))
+    kind = dict(vectors.dtypes)
+    units = vectors.select("vec_id", "label", "embedding").mapInArrow(_unit, f"vec_id {kind['vec_id']}, label {kind['label']}, v array<double>, h binary")
+    keyed = units.where("v is not null")
     point = keyed.groupBy("label", "h").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("v").alias("v"))
     point = shared.cut(point.withColumn("id", F.xxhash64("label", "h")), "embed-points")
     total, labels, width = point.agg(F.count("*"), F.approx_count_distinct("label"), F.max(F.size("v"))).first()
-    kind = dict(vectors.dtypes)
     if not total:
         return vectors.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     sample = np.array([r["v"] for r in point.where(F.size("v") == width).orderBy("h", "label").limit(SAMPLE).select("v").collect()])
@@ -184,6 +197,6 @@ def groups(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named = named.withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("label", "h", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
-    alone = base.where(~F.coalesce(sound, F.lit(False))).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    alone = units.where("v is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     linked = keyed.select("vec_id", "label", "h").join(shared.cut(named, "embed-named"), ["label", "h"])
     return linked.select("vec_id", F.col("n_links").cast("bigint").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")).unionAll(alone)
