@@ -5,8 +5,8 @@ language, fitted on a bounded sample of labelled rows, tempered because neighbou
 not independent. Declared language and address suffix: P(value | language), estimated over the whole
 corpus from what the texts alone say. Host: counts of text-only decisions by grouped aggregation,
 smoothed from host to domain to corpus, without the row's own count. A row's posterior is the product of all
-that it has. A text that no language makes at least as likely as its held-out sample is unknown;
-rows that are unknown or have no evidence are rejected.
+that it has. A text is unknown if even its best language makes it nearly as unlikely as random
+trigrams, measured against held-out texts; rows that are unknown or have no evidence are rejected.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from . import shingles
 SAMPLE, LONGEST = 3000, 20_000
 BUCKETS = 1 << 16
 TEMPER = 0.1
+#: How far a text's mean may be on the way from held-out texts' median to random trigrams' before it is unknown.
+STRANGE = 0.6
 #: Pseudo-counts that the next wider level of a host prior weighs.
 SMOOTH = 5.0
 #: Least posterior of a decision.
@@ -96,8 +98,8 @@ def train(rows: list[tuple[str, str]]) -> Model:
     total, many = model.score([t for t, _ in hold])
     known = many >= 20
     mean = total.max(1)[known] / many[known]
-    # A clean text is far above the floor: two spreads below the least held-out one.
-    floor = float(mean.min() - 2 * (np.median(mean) - mean.min()) - 0.5) if len(mean) else -np.inf
+    # The floor lies nearer to what trigrams at random would get than to a held-out text of the middle.
+    floor = float(np.median(mean) + STRANGE * (model.weights.mean() - np.median(mean))) if len(mean) else -np.inf
     right = np.mean([languages[j] == lang for j, (_, lang) in zip(total.argmax(1), hold, strict=True)]) if hold else 0.0
     return Model(languages, model.weights, floor, float(right))
 
