@@ -1,0 +1,85 @@
+import numpy as np
+import pytest
+from conftest import SF
+from pyspark.sql import functions as F
+
+from framestride.llm import language_id
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return language_id.train(language_id.sample(spark.read.parquet(f"{SF}/documents.parquet")))
+
+
+def test_held_out_accuracy(spark, model):
+    assert model.languages == ["de", "en", "es", "fr"] and model.accuracy >= 0.99
+    other = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", "lang").collect()
+    total, _ = model.score([r["text"] for r in other])
+    assert np.mean([model.languages[j] == r["lang"] for j, r in zip(total.argmax(1), other, strict=True)]) >= 0.99
+
+
+def test_clean_documents_are_kept(spark):
+    got = language_id.documents(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    assert not any(r["lang_rejected"] for r in got) and np.mean([r["lang"] == r["lang_id"] for r in got]) >= 0.99
+
+
+def test_pages(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = language_id.pages(pages, spark.read.parquet(f"{SF}/documents.parquet"))
+    told = pages.select("page_id", language_id.declared_language(F.col("html")).alias("told"))
+    rows = got.join(told, "page_id").collect()
+    assert len(rows) == pages.count() and np.mean([r["told"] == r["lang_id"] for r in rows]) >= 0.98
+
+
+def test_the_posterior_is_the_product_of_the_evidence(spark, model):
+    """By hand: text, declared language, suffix and host priors, smoothed from corpus to domain to host."""
+    en, de = "the of and that to in is was ", "der und die nicht ein ist von zu "
+    rows = [("http://a.x.de/1", de * 5, "de"), ("http://a.x.de/2", de * 5, "de"), ("http://a.x.de/3", en * 5, "en"), ("http://b.x.de/4", de * 5, None), ("http://c.org/5", en * 5, "en"), ("http://a.x.de/6", None, "de"), ("http://b.x.de/7", "", None), (None, en, None)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, url string, text string, told string")
+    got = {r["i"]: r for r in language_id.identify(docs, model, declared=F.col("told"), url=F.col("url")).collect()}
+    names, n = model.languages, len(model.languages)
+    total, many = model.score([r[1] or "" for r in rows])
+    says = [int(t.argmax()) if m else None for t, m in zip(total, many, strict=True)]
+    host = [r[0].split("/")[2] if r[0] else None for r in rows]
+    domain = [".".join(h.split(".")[-2:]) if h else None for h in host]
+    suffix = [h.split(".")[-1] if h else None for h in host]
+    count = lambda key, value, j: sum(k == value and s == j for k, s in zip(key, says, strict=True))
+
+    def given(key):
+        values = sorted({k for k, s in zip(key, says, strict=True) if k is not None and s is not None})
+        size = [sum(count(key, v, j) for v in values) for j in range(n)]
+        return {v: [np.log((count(key, v, j) + 1) / (size[j] + len(values))) for j in range(n)] for v in values}
+
+    told_, tail = given([r[2] for r in rows]), given(suffix)
+    base = [(sum(s == j for s in says) + 1) / (sum(s is not None for s in says) + n) for j in range(n)]
+
+    def smooth(key, i, prior):
+        c = [count(key, key[i], j) - (says[i] == j) for j in range(n)]
+        return [(x + language_id.SMOOTH * p) / (sum(c) + language_id.SMOOTH) for x, p in zip(c, prior, strict=True)]
+
+    for i, r in enumerate(rows):
+        prior = base
+        for key in (domain, host):
+            prior = smooth(key, i, prior) if key[i] else prior
+        z = np.log(prior) + (total[i] * language_id.TEMPER if many[i] else 0)
+        z = z + np.array(told_.get(r[2], [0] * n)) + np.array(tail.get(suffix[i], [0] * n))
+        p = np.exp(z - z.max())
+        assert got[i]["lang_id"] == names[int(z.argmax())] and np.isclose(got[i]["lang_posterior"], p.max() / p.sum())
+
+
+def test_edge_cases(spark, model):
+    rows = [(1, None, None), (2, "", None), (3, "!!! 123", "x"), (4, "漢字仮名交じり文の例です。" * 30, "x"), (5, "the and of that", None), (5, "the and of that", None), (None, "der und die das nicht", "x"), (7, "the and of " * 200_000, "x")]
+    docs = spark.createDataFrame([(*r, "old", True) for r in rows], "doc_id bigint, text string, source string, lang_id string, lang_rejected boolean")
+    got = language_id.identify(docs, model, place=F.col("source"))
+    assert got.columns == ["doc_id", "text", "source", "lang_id", "lang_posterior", "lang_rejected"]
+    seen = sorted((repr(r["doc_id"]), r["lang_id"], r["lang_rejected"]) for r in got.collect())
+    assert seen == [("1", "und", True), ("2", "und", True), ("3", "und", True), ("4", "und", True), ("5", "en", False), ("5", "en", False), ("7", "en", False), ("None", "de", False)]
+    assert language_id.identify(docs.limit(0), model, place=F.col("source")).count() == 0
+
+
+def test_markup_and_hosts(spark):
+    assert language_id.strip_markup("<html><script>var x='<p>'</script>a&amp;b<!-- <p>no -->c</html>").split() == ["a&b", "c"]
+    rows = spark.createDataFrame([("HTTP://u:p@Host.Example.DE:80/x?y",), ("no url",), (None,)], "u string")
+    assert [r[0] for r in rows.select(language_id.host(F.col("u"))).collect()] == ["host.example.de", "", None]
+    page = spark.createDataFrame([('<!DOCTYPE html><HTML class="a" lang=\'de-AT\'>',), ("<p lang=en>",)], "h string")
+    assert [r[0] for r in page.select(language_id.declared_language(F.col("h"))).collect()] == ["de", ""]

@@ -1,0 +1,83 @@
+import random
+
+import numpy as np
+import pytest
+from conftest import SF
+from llm_helpers import brute_classes
+
+from framestride.llm import near_dedup, shingles
+
+
+def brute(a, b):
+    """Probability Jaccard by its definition."""
+    keys = set(a) | set(b)
+    x = {k: a.get(k, 0) / sum(a.values()) for k in keys}
+    y = {k: b.get(k, 0) / sum(b.values()) for k in keys}
+    return sum(1 / sum(max(x[e] / x[d], y[e] / y[d]) for e in keys) for d in keys if x[d] * y[d] > 0)
+
+
+def arrays(a):
+    keys = sorted(a)
+    return np.array(keys, np.uint64), np.array([a[k] for k in keys], float)
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_prob_jaccard(seed):
+    rng = random.Random(seed)
+    a = {i: rng.randint(1, 4) for i in range(12)}
+    b = {i: rng.randint(1, 4) for i in range(rng.randint(0, 12), 15)}
+    assert np.isclose(near_dedup.prob_jaccard(*arrays(a), *arrays(b)), brute(a, b))
+    assert near_dedup.prob_jaccard(*arrays(a), *arrays(a)) == pytest.approx(1)
+
+
+def test_signatures_estimate_prob_jaccard():
+    rng = random.Random(1)
+    texts, off = [], []
+    for _ in range(60):
+        words = [f"w{rng.randint(0, 400)}" for _ in range(300)]
+        texts += [" ".join(words), " ".join(w if rng.random() > 0.02 else "zz" for w in words)]
+    h, w, at = near_dedup.weighted(texts)
+    sig = near_dedup.signatures(h, w, at, 512)
+    for i in range(0, 120, 2):
+        a, b = (slice(at[j], at[j + 1]) for j in (i, i + 1))
+        off.append((sig[i] == sig[i + 1]).mean() - near_dedup.prob_jaccard(h[a], w[a], h[b], w[b]))
+    assert abs(np.mean(off)) < 0.01 and np.std(off) < 0.03
+
+
+def test_classes_against_all_pairs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    got = near_dedup.classes(docs).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in got) == brute_classes(rows)
+    assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Copies that are near a common text but often not near each other: no link between classes is lost."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(w if rng.random() > q else f"x{rng.randint(0, 10**9)}" for w in base)) for i, q in enumerate(rng.choice([0.005, 0.02, 0.04]) for _ in range(150))]
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in got) == brute_classes(rows)
+
+
+def test_edge_cases(spark):
+    long = "many words " * 50_000
+    rows = [(5, None), (6, None), (3, ""), (4, ""), (1, "..."), (2, "!!!"), (9, "Hello, World"), (8, "hello world!"), (8, "hello world!"), (7, long), (None, long), (11, "a b c d e f"), (11, "other text of its own here")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, k string, bands int")
+    got = near_dedup.classes(docs)
+    assert got.columns == ["doc_id", "class_id", "kept"]
+    # Nulls alone; equal texts together; texts without words only with equals; case and stops do not matter.
+    want = [(None, 7, False), (1, 1, True), (2, 2, True), (3, 3, True), (4, 3, False), (5, 5, True), (6, 6, True), (7, 7, True), (8, 8, True), (8, 8, True), (9, 8, False), (11, 11, True), (11, 11, True)]
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want))
+    kept = near_dedup.dedup(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 5, 6, 7, 8, 11, 11]
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string")
+    assert near_dedup.classes(docs).count() == 0 and near_dedup.dedup(docs).count() == 0
+
+
+def test_short_texts_are_one_shingle():
+    assert np.diff(shingles.shingles(["a b", "a b c d", "", "a b c d e f"])[1]).tolist() == [1, 1, 0, 2]
