@@ -7,8 +7,8 @@ are rare, and every shared run has one. Each document is paired, for each of its
 earliest document that has the key (so a key of any number of documents gives one pair for each, and
 no shared run is missed). A pair's lines are aligned by patience diff: lines that occur once in both
 are chained in order, and the gaps between them are worked through likewise. Each aligned block of
-LEAST words or more is deleted from the later document; runs that the alignment cannot order (moved
-passages) are aligned again without the lines deleted so far, until the pair shares no more.
+LEAST words or more is deleted from the later document; what is left is aligned again without the
+lines deleted so far, and shared runs that no alignment orders (moved passages) are deleted by their keys.
 """
 
 from __future__ import annotations
@@ -25,15 +25,15 @@ from pyspark.sql import functions as F
 from . import shared, shingles
 
 LEAST = 50
-#: Followers of one leader that are aligned in one run of rows.
-RUN = 512
+#: One run of a leader's followers holds, about, this many pairs at most of all that are aligned.
+RUN = 20_000
 
 
-def keys(lines: list[int], words: list[int], least: int = LEAST) -> tuple[list[int], list[int]]:
-    """(starts, hashes) of the shortest run of `least` words or more from each line that has a word and such a run."""
+def keys(lines: list[int], words: list[int], least: int = LEAST) -> tuple[list[int], list[int], list[int]]:
+    """(starts, ends, hashes) of the shortest run of `least` words or more from each line that has a word and such a run."""
     h, n = np.array(lines, np.int64).view(np.uint64), len(lines)
     if not n:
-        return [], []
+        return [], [], []
     total = np.concatenate([[0], np.cumsum(words)])
     stop = np.searchsorted(total, total[:-1] + least)
     start = np.flatnonzero((stop <= n) & (np.array(words) > 0))
@@ -41,7 +41,7 @@ def keys(lines: list[int], words: list[int], least: int = LEAST) -> tuple[list[i
     up, down = shingles.powers(n + 1)
     np.cumsum(shingles.mix(h) * up[:n], out=run[1:])
     size = (stop[start] - start).astype(np.uint64)
-    return start.tolist(), shingles.mix((run[stop[start]] - run[start]) * down[start] + size).view(np.int64).tolist()
+    return start.tolist(), stop[start].tolist(), shingles.mix((run[stop[start]] - run[start]) * down[start] + size).view(np.int64).tolist()
 
 
 def align(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
@@ -137,18 +137,11 @@ def repeated(early: list[int], early_words: list[int], late: list[int], words: l
         if not new:
             break
         gone |= new
-    # What patience could not order may still be shared: runs found by their keys, one after the other.
-    place: dict[int, list[int]] = {}
-    for i, key in zip(*keys(early, early_words, least), strict=True):
-        place.setdefault(key, []).append(i)
-    for j, key in zip(*keys(late, words, least), strict=True):
-        for i in place.get(key, ()) if j not in gone else ():
-            n = 0
-            while i + n < len(early) and j + n < len(late) and j + n not in gone and early[i + n] == late[j + n]:
-                n += 1
-            if sum(words[j : j + n]) >= least:
-                gone |= set(range(j, j + n))
-                break
+    # What patience could not order may still be shared: every run of late whose key early has.
+    have = set(keys(early, early_words, least)[2])
+    for start, stop, key in zip(*keys(late, words, least), strict=True):
+        if key in have:
+            gone |= set(range(start, stop))
     return sorted(gone)
 
 
@@ -160,7 +153,7 @@ def _lines(least: int):
                 lines = text.split("\n")
                 h.append([xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) - (1 << 63) for x in lines])
                 w.append([len(x.split()) for x in lines])
-                k.append(keys(h[-1], w[-1], least)[1])
+                k.append(keys(h[-1], w[-1], least)[2])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k"), *(pa.array(x, pa.list_(pa.int64())) for x in (h, w, k))], ["doc_id", "k", "lines", "words", "keys"])
 
     return run
@@ -202,8 +195,8 @@ def _repeats(docs: DataFrame, least: int) -> DataFrame:
     spread = lined.select("doc", F.explode("keys").alias("key")).distinct()
     first = spread.groupBy("key").agg(F.min("doc").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     pairs = shared.cut(spread.join(first, "key").where("doc != a").select("a", "doc").distinct(), "line-pairs")
-    salt = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / RUN)).cast("int")
-    dealt = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", "doc", salt.alias("salt"))
+    runs = max(1, pairs.count() // RUN)
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(runs)).cast("int"))
     body = lined.select(F.col("doc").alias("of"), "lines", "words").dropDuplicates(["of"])
     ask = dealt.select(F.col("doc").alias("of"), "a", "salt", "doc").unionAll(dealt.select(F.col("a").alias("of"), "a", "salt", F.lit(None).cast("binary").alias("doc")).distinct())
     rows = ask.join(body, "of").select("a", "salt", "doc", "lines", "words").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("doc").isNotNull())
@@ -220,7 +213,7 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     stays. A text all of whose lines go is empty. White space within a line matters. Every other
     column stays as it is, whatever its name, except that n_lines and deleted_lines are replaced.
     """
-    gone = _repeats(docs, least).withColumnsRenamed({"doc_id": "_of", "k": "_k"})
+    gone = _repeats(docs, least).withColumnsRenamed({"doc_id": "_of", "k": "_k"}).hint("merge")
     rows = docs.drop("n_lines", "deleted_lines").withColumn("_md5", F.unhex(F.md5(F.col("text"))))
     rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_of"]) & (rows["_md5"] == gone["_k"]), "left")
     rest = F.arrow_udf(_without, "string")(F.when(F.col("gone").isNotNull(), F.col("text")), F.col("gone"))
