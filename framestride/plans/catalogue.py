@@ -228,21 +228,21 @@ def q18_hist_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("episode_index", long).select("episode_index", "q.*")
 
 
-@query("""SELECT label::BIGINT AS label, d::BIGINT AS dimension, count(*) AS "count", min(x)::DOUBLE AS "min", max(x)::DOUBLE AS "max", round(avg(x::DOUBLE), 3) AS mean, round(stddev_pop(x::DOUBLE), 3) AS std
+@query("""SELECT label::BIGINT AS label, d::BIGINT AS dimension, count(*) AS "count", min(x)::DOUBLE AS "min", max(x)::DOUBLE AS "max", round(avg(x::DOUBLE), 6) AS mean, round(stddev_pop(x::DOUBLE), 6) AS std
   FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings) GROUP BY ALL""")
 def q19_vector_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics of every dimension of the vectors of each label."""
+    """Statistics of every dimension, in double precision, of the vectors of each label."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("vec_id", "ascending")])
-        x = np.array(table.column("embedding").to_pylist(), np.float32)
-        s = stats.episode(x.T, "float32")
+        x = np.array(table.column("embedding").to_pylist(), np.float64)
+        s = stats.episode(x.T, "float64")
         width = x.shape[1]
         return pa.table({"label": [table.column("label")[0].as_py()] * width, "dimension": list(range(width)), "count": [s.count] * width, **{k: s.values[k].tolist() for k in ("min", "max", "mean", "std")}})
 
     rows = _table(spark, sf_dir, "embeddings").select(F.col("label").cast("bigint").alias("label"), "vec_id", "embedding")
     found = rows.groupBy("label").applyInArrow(run, "label bigint, dimension bigint, count bigint, min double, max double, mean double, std double")
-    return found.withColumns({"mean": F.round("mean", 3), "std": F.round("std", 3)})
+    return found.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
 @query("""SELECT event_type AS task, min(event_id) + 9007199254740993 AS least, max(event_id) + 9007199254740993 AS most FROM events GROUP BY ALL""")
