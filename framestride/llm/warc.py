@@ -28,6 +28,7 @@ from . import shared
 ROLL = 64 << 20
 CHUNK = 1 << 18
 VERSION = b"WARC/1."
+LINES = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "path string, begin bigint, end bigint, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes bigint, payload binary, gap string"
@@ -140,7 +141,7 @@ def _headers(raw: bytes) -> dict[str, str]:
 
 def _take(data: bytearray, whole: bool) -> tuple[dict, int] | None:
     """The record that data begins with, and its size; None if more bytes are needed. Raises _Bad."""
-    if not data.startswith(VERSION[: len(data)]):
+    if data[:10] not in LINES and (whole or len(data) >= 10 or not any(x.startswith(bytes(data)) for x in LINES)):
         raise _Bad("no version line")
     stop = data.find(b"\r\n\r\n")
     if stop < 0:
