@@ -24,8 +24,11 @@ BANDS = REGISTERS // ROWS
 THRESHOLD = 0.8
 #: Pairs whose signatures agree in fewer registers are not verified: five standard errors below 0.8.
 LEAST_AGREED = int(REGISTERS * THRESHOLD - 5 * (REGISTERS * THRESHOLD * (1 - THRESHOLD)) ** 0.5)
-#: Followers of one leader that are verified in one run of rows.
-RUN = 512
+#: One run of a leader's followers holds, about, this many pairs at most of all that are verified at once.
+RUN = 20_000
+#: Registers of the sharper signature by which the rest of a bucket is compared, its least agreement
+#: (four standard errors below 0.8), and texts that are held in memory as other texts stream past.
+SHARP, LEAST_SHARP, BLOCK = 1024, 768, 512
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -136,22 +139,97 @@ def _verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.binary()) for j in (0, 1)], ["a", "b"])
 
 
+def _sharpen(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        texts = part.column("text").to_pylist()
+        for a, b in shingles.batches(texts):
+            sig = signatures(*weighted(texts[a:b]), SHARP).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([part.column("k").slice(a, b - a), pa.array([x.tobytes() for x in sig], pa.binary())], ["k", "sharp"])
+
+
+def _compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (bucket, block), those of the block (away) first; all of the bucket stream past.
+
+    Emits the pairs of different components that agree enough, each in the first band that they share.
+    """
+    key, held = None, None
+
+    def unpack(part: pa.RecordBatch, rows: np.ndarray) -> tuple:
+        own = part.take(pa.array(rows))
+        bands_ = np.array(own.column("bands").to_pylist(), np.int64)
+        sharp = np.frombuffer(b"".join(own.column("sharp").to_pylist()), np.uint8).reshape(-1, SHARP)
+        return own.column("k").to_pylist(), own.column("root").to_pylist(), np.array(own.column("is_main").to_pylist(), bool), bands_, sharp
+
+    for part in parts:
+        bucket, block = part.column("bucket").to_numpy(), part.column("block").to_numpy()
+        away, out = np.array(part.column("away").to_pylist(), bool), []
+        turn = np.flatnonzero((bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1]) | (away[1:] != away[:-1])) + 1
+        for at, to in zip(np.append(0, turn), np.append(turn, len(bucket)), strict=True):
+            if at == to:
+                continue
+            rows = unpack(part, np.arange(at, to))
+            if key != (bucket[at], block[at]):
+                key, held = (bucket[at], block[at]), None
+            if away[at]:
+                held = rows if held is None else tuple(x + y if isinstance(x, list) else np.concatenate([x, y]) for x, y in zip(held, rows, strict=True))
+                continue
+            if held is None:
+                continue
+            for i in range(len(held[0])):
+                likely = np.flatnonzero((held[4][i] == rows[4]).sum(1) >= LEAST_SHARP)
+                for j in likely:
+                    same = np.flatnonzero(held[3][i] == rows[3][j])
+                    first = held[3][i][same[0]] == bucket[at] if len(same) else False
+                    if first and held[1][i] != rows[1][j] and (rows[2][j] or held[0][i] < rows[0][j]):
+                        out.append((held[0][i], rows[0][j]))
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.binary()) for j in (0, 1)], ["a", "b"])
+
+
+def _held(ks: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(k, text) of some keys: each text once, however many rows have it."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name")
+    first = signed.select("k", name).join(ks, "k", "left_semi")
+    return texts.select("k", name, "text").join(first, ["k", "name"]).dropDuplicates(["k", "name"]).select("k", "text")
+
+
 def _verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of distinct texts that reach THRESHOLD."""
-    low = signed.select("k", "low")
-    likely = pairs.join(low.select(F.col("k").alias("a"), F.col("low").alias("low_a")), "a").join(low.select(F.col("k").alias("b"), F.col("low").alias("low_b")), "b")
-    likely = shared.cut(likely.mapInArrow(_agreed, "a binary, b binary"), "near-likely")
-    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / RUN)).cast("int")
-    dealt = likely.join(likely.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", "b", salt.alias("salt"))
+    """The pairs (a, b) of distinct texts that reach THRESHOLD; pairs is a table."""
+    # A leader's followers are dealt over as many runs as keep any run short; each run has the leader's text.
+    runs = max(1, pairs.count() // RUN)
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(runs)).cast("int"))
     ask = dealt.select(F.col("b").alias("k"), "a", "salt", "b").unionAll(dealt.select(F.col("a").alias("k"), "a", "salt", F.lit(None).cast("binary").alias("b")).distinct())
     # Each text is sent once to its key, where one row per wanted pair or leader run takes it on.
-    first = signed.select("k", F.col("doc_id").alias("id")).join(ask.select("k").distinct(), "k", "left_semi")
-    held = texts.join(first, (texts["k"] == first["k"]) & texts["doc_id"].eqNullSafe(first["id"])).select(texts["k"], "text").dropDuplicates(["k"])
-    rows = ask.join(held, "k").select("a", "salt", "b", "text")
+    rows = ask.join(_held(ask.select("k").distinct(), signed, texts), "k").select("a", "salt", "b", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").isNotNull())
     return rows.mapInArrow(_verify, "a binary, b binary")
 
 
+def _likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    low = signed.select("k", "low")
+    likely = pairs.join(low.select(F.col("k").alias("a"), F.col("low").alias("low_a")), "a").join(low.select(F.col("k").alias("b"), F.col("low").alias("low_b")), "b")
+    return shared.cut(likely.mapInArrow(_agreed, "a binary, b binary"), "near-likely")
+
+
+def _rest(member: DataFrame, root: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs of different components that share a bucket and agree in LEAST_SHARP registers of the sharper signature."""
+    rooted = member.select("k", "bucket").join(root.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    # A bucket's largest component needs no pairs of its own; every other text meets all but its own component.
+    by = rooted.groupBy("bucket", "root").agg(F.count("*").alias("m"))
+    main = by.groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("all")).where("parts > 1")
+    main = main.select("bucket", F.col("main.root").alias("main"), F.ceil((F.col("all") - F.col("main.m")) / BLOCK).alias("blocks"))
+    mixed = shared.cut(rooted.join(main, "bucket").withColumn("is_main", F.col("root") == F.col("main")).drop("main"), "near-mixed")
+    sharp = _held(mixed.select("k").distinct(), signed, texts).mapInArrow(_sharpen, "k binary, sharp binary")
+    full = mixed.join(sharp.join(signed.select("k", "bands"), "k"), "k")
+    # The texts of a block come first, then all of the bucket, once a block.
+    column = ["bucket", "block", "away", "k", "root", "is_main", "bands", "sharp"]
+    block = F.when(F.col("is_main"), F.lit(None)).otherwise(F.pmod(F.xxhash64("k"), "blocks"))
+    every = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda i: F.struct(i.alias("block"), F.lit(False).alias("away")))
+    here = F.when(F.col("is_main"), every).otherwise(F.concat(every, F.array(F.struct(block.alias("block"), F.lit(True).alias("away")))))
+    rows = full.select("*", F.explode(here).alias("at")).select("*", "at.*").select(*column)
+    rows = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", F.desc("away"))
+    return rows.mapInArrow(_compare, "a binary, b binary")
+
+
 def _classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, kept, k) per row of docs (doc_id, text); k is the MD5 of the text: classes of texts linked by J_P >= 0.8.
 
@@ -163,9 +241,10 @@ def _classes(docs: DataFrame) -> DataFrame:
     word equal only themselves. Other columns are not read.
 
     Copies of a text are one node. In every band bucket all texts are compared with one leader, that
-    whose buckets are largest in sum, which is near the middle of a group of near copies. Then all
-    pairs of a bucket that are in different components and were not compared are compared too, so no
-    candidate pair between different classes is left out however large a bucket is.
+    whose buckets are largest in sum, which is near the middle of a group of near copies. Then every
+    text outside a bucket's largest component is compared with all texts of the bucket, by a sharper
+    signature and in blocks that stream, and the pairs that agree are verified too; so no candidate
+    pair between different classes is left out however large a bucket is.
     """
     base = docs.select("doc_id", "text").where("text is not null")
     keyed = base.select("doc_id", F.unhex(F.md5(F.col("text"))).alias("k"), "text")
@@ -174,25 +253,17 @@ def _classes(docs: DataFrame) -> DataFrame:
 
     spread = signed.select("k", F.explode("bands").alias("bucket"))
     size = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    member = shared.cut(spread.join(size, "bucket"), "near-member")
-    middle = member.groupBy("k").agg(F.sum("n").alias("near"))
-    scored = member.join(middle, "k")
-    head = scored.groupBy("bucket").agg(F.max(F.struct("near", "k")).alias("head")).select("bucket", F.col("head.k").alias("a"))
-    tested = shared.cut(member.join(head, "bucket").where("k != a").select("a", F.col("k").alias("b")).distinct(), "near-pairs")
-    links = shared.cut(_verified(tested, signed, keyed), "near-links")
+    # Back to one row a text, of BANDS buckets at most, for the sum of their sizes.
+    own = spread.join(size, "bucket").groupBy("k").agg(F.sum("n").alias("near"), F.collect_list("bucket").alias("buckets"))
+    member = shared.cut(own.select("k", "near", F.explode("buckets").alias("bucket")), "near-member")
+    head = member.groupBy("bucket").agg(F.max(F.struct("near", "k")).alias("head")).select("bucket", F.col("head.k").alias("a"))
+    pairs = member.join(head, "bucket").where("k != a").select("a", F.col("k").alias("b")).distinct()
+    links = shared.cut(_verified(_likely(pairs, signed), signed, keyed), "near-links")
     root = shared.components(links)
-
-    rooted = member.select("k", "bucket", "n").join(root.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    # A bucket's largest component needs no pairs of its own; every other text meets all but its own component.
-    by = rooted.groupBy("bucket", "root").agg(F.count("*").alias("m"))
-    main = by.groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("main.root").alias("main"))
-    mixed = rooted.join(main, "bucket").select("bucket", "k", "root", "main")
-    away = mixed.where("root != main").select("bucket", F.col("k").alias("x"), F.col("root").alias("x_root"))
-    meet = away.join(mixed.select("bucket", "k", "root"), "bucket").where("root != x_root").select(F.least("x", "k").alias("a"), F.greatest("x", "k").alias("b")).distinct()
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = shared.cut(meet.join(done, ["a", "b"], "left_anti"), "near-more")
+    more = shared.cut(_rest(member, root, signed, keyed), "near-more")
     if not more.isEmpty():
-        root = shared.components(links.unionAll(shared.cut(_verified(more, signed, keyed), "near-links")))
+        links = links.unionAll(shared.cut(_verified(more, signed, keyed), "near-links"))
+        root = shared.components(links)
 
     named = signed.select("k", "doc_id").join(root.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
