@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import kept
 from ..sources import info as meta
 from ..sources import paths
 from ..sources.dataset import Dataset, any_of
@@ -69,7 +70,7 @@ class ViewDataset(Dataset):
 
 def event_dataset(spark: SparkSession, sf_dir: str) -> tuple[ViewDataset, DataFrame, DataFrame]:
     """(dataset, episodes, tasks) of the events."""
-    frames, episodes, tasks = generated_columns(event_frames(spark, sf_dir), ["ts", "event_id"])
+    frames, episodes, tasks = generated_columns(event_frames(spark, sf_dir), ["ts", "event_id"], kept)
     frames = frames.withColumn("timestamp", F.col("frame_index") / FPS)
     return ViewDataset(spark, ROOT, frames=frames, lengths=episodes.select("episode_index", "length")), episodes, tasks
 

@@ -5,7 +5,6 @@ Every query goes through the engine's operators, over whole tables.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +16,7 @@ from ..functions import images
 from ..functions.depth import Depth, quantize
 from ..functions.pixels import resize_indices, sample_frames
 from ..operators import lookup, stats, temporal, video
+from ..scratch import folder
 from ..sources import info as meta
 from ..sources import writer
 from ..sources.dataset import Dataset
@@ -291,9 +291,7 @@ def q23_shard_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _written(spark: SparkSession, sf_dir: str) -> Dataset:
     """A new dataset of the events, in the folder that the workers share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = base.removeprefix("file://") if base and base.startswith(("/", "file:/")) else tempfile.gettempdir()
-    root = f"{folder.rstrip('/')}/events-{np.random.default_rng().integers(1 << 62):x}"
+    root = folder(spark, "events").removeprefix("file://")
     rows = adapters.event_frames(spark, sf_dir).withColumns({"pair": F.array(F.col("action").cast("float"), (-F.col("action")).cast("float")), "event": F.col("event_id")})
     features = {"action": {"dtype": "float64", "shape": [1]}, "pair": {"dtype": "float32", "shape": [2]}, "event": {"dtype": "int64", "shape": [1]}}
     writer.write_dataset(rows.drop("event_id"), root, fps=adapters.FPS, features=features, order_by=["ts", "event"], data_files_size_in_mb=0.05, chunks_size=4)
