@@ -213,13 +213,16 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     stays. A text all of whose lines go is empty. White space within a line matters. Every other
     column stays as it is, whatever its name, except that n_lines and deleted_lines are replaced.
     """
-    gone = _repeats(docs, least).withColumnsRenamed({"doc_id": "_of", "k": "_k"}).hint("merge")
-    rows = docs.drop("n_lines", "deleted_lines").withColumn("_md5", F.unhex(F.md5(F.col("text"))))
-    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_of"]) & (rows["_md5"] == gone["_k"]), "left")
-    rest = F.arrow_udf(_without, "string")(F.when(F.col("gone").isNotNull(), F.col("text")), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest)
-    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    gone = _repeats(docs, least).withColumnsRenamed({"doc_id": "of", "k": "of_k"}).hint("merge")
+    # The document is one value here, so that none of its names meets those of the join.
+    names = [c for c in docs.columns if c not in ("n_lines", "deleted_lines")]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    rows = rows.select("row", F.col("row.doc_id").alias("id"), F.unhex(F.md5(F.col("row.text"))).alias("id_k"))
+    rows = rows.join(gone, F.col("id").eqNullSafe(F.col("of")) & (F.col("id_k") == F.col("of_k")), "left")
+    held = F.col("row.text")
+    rest = F.arrow_udf(_without, "string")(F.when(F.col("gone").isNotNull(), held), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), held).otherwise(rest)
+    n = F.when(held.isNull(), F.lit(0)).otherwise(F.length(held) - F.length(F.replace(held, F.lit("\n"), F.lit(""))) + 1)
     deleted = F.coalesce("gone", F.array().cast("array<bigint>"))
-    rows = rows.withColumns({"n_lines": n.cast("bigint"), "deleted_lines": deleted}).withColumn("text", text)
-    return rows.drop("_md5", "_of", "_k", "gone")
-
+    kept = [text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names]
+    return rows.select(*kept, n.cast("bigint").alias("n_lines"), deleted.alias("deleted_lines"))

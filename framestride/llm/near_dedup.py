@@ -283,7 +283,9 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a kept document in doc_id and text are one document: one of them stays.
     """
-    kept = _classes(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("k").alias("_of")).distinct()
-    rows = docs.withColumn("_k", F.unhex(F.md5(F.col("text"))))
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & rows["_k"].eqNullSafe(kept["_of"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_k"]).drop("_k")
+    kept = _classes(docs).where("kept").select(F.col("doc_id").alias("of"), F.col("k").alias("of_k")).distinct()
+    # The document is one value here, so that none of its names meets those of the join.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = rows.select("row", F.col("row.doc_id").alias("id"), F.unhex(F.md5(F.col("row.text"))).alias("id_k"))
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("of")) & F.col("id_k").eqNullSafe(F.col("of_k")), "left_semi")
+    return rows.dropDuplicates(["id", "id_k"]).select("row.*")

@@ -82,9 +82,9 @@ def test_patience_diff():
 def test_edge_cases(spark):
     big, small = "word " * 60 + "end", "too few words to matter"
     rows = [(1, big + "\n" + small), (2, small + "\n" + big), (3, None), (4, ""), (5, "\n\n"), (None, big), (6, big), (6, "x\n" + big), (7, big + "\ntail"), (7, big + "\ntail"), (8, ("one line " * 40 + "\n") * 3000)]
-    docs = spark.createDataFrame([(*r, 0, "k") for r in rows], "doc_id bigint, text string, n_lines int, keys string")
+    docs = spark.createDataFrame([(*r, 0, "k") for r in rows], "doc_id bigint, text string, n_lines int, gone string")
     got = line_dedup.dedup(docs)
-    assert got.columns == ["doc_id", "text", "keys", "n_lines", "deleted_lines"]
+    assert got.columns == ["doc_id", "text", "gone", "n_lines", "deleted_lines"]
     seen = [(r["doc_id"], r["n_lines"], r["deleted_lines"], None if r["doc_id"] == 8 else r["text"]) for r in got.collect()]
     want = [
         (1, 2, [], big + "\n" + small), (2, 2, [1], small), (3, 0, [], None), (4, 1, [], ""), (5, 3, [], "\n\n"), (None, 1, [0], ""), (6, 1, [0], ""), (6, 2, [1], "x"),

@@ -64,7 +64,7 @@ def test_a_large_group_of_near_copies(spark):
 def test_edge_cases(spark):
     long = "many words " * 50_000
     rows = [(5, None), (6, None), (3, ""), (4, ""), (1, "..."), (2, "!!!"), (9, "Hello, World"), (8, "hello world!"), (8, "hello world!"), (7, long), (None, long), (11, "a b c d e f"), (11, "other text of its own here")]
-    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, k string, bands int")
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, id_k string, of int")
     got = near_dedup.classes(docs)
     assert got.columns == ["doc_id", "class_id", "kept"]
     # Nulls alone; equal texts together; texts without words only with equals; case and stops do not matter.
