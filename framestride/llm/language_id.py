@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shingles
+from . import shared, shingles
 
 #: Labelled rows that the text model is fitted on, at most, and the longest text among them in characters.
 SAMPLE, LONGEST = 3000, 20_000
@@ -85,7 +85,12 @@ class Model:
 
 
 def train(rows: list[tuple[str, str]]) -> Model:
-    """Fit on four fifths of the labelled rows; the floor and the accuracy are from the last fifth."""
+    """Fit on four fifths of the labelled rows; the floor and the accuracy are from the last fifth.
+
+    Without any rows there is one language, 'und', and every row is rejected.
+    """
+    if not rows:
+        return Model([UNKNOWN], np.zeros((BUCKETS, 1), np.float32), np.inf, 0.0)
     languages = sorted({lang for _, lang in rows})
     hold = rows[::5] if len(rows) >= 10 else rows
     fit = [r for i, r in enumerate(rows) if i % 5] if len(rows) >= 10 else rows
@@ -106,8 +111,9 @@ def train(rows: list[tuple[str, str]]) -> Model:
 
 def sample(labelled: DataFrame, limit: int = SAMPLE) -> list[tuple[str, str]]:
     """At most `limit` rows of labelled (doc_id, text, lang), those of least hash, for train()."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.length("text").between(1, LONGEST))
-    return [(r["text"], r["lang"]) for r in rows.orderBy(F.xxhash64("doc_id", F.length("text")), "text").limit(limit).select("text", "lang").collect()]
+    rows = shared.pick(labelled.where(F.col("lang").isNotNull()), limit, "doc_id", "text").where(F.length("text").between(1, LONGEST))
+    picked = rows.select(F.xxhash64("doc_id", "text").alias("h"), "text", "lang").collect()
+    return [(r["text"], r["lang"]) for r in sorted(picked, key=lambda r: (r["h"], r["text"]))[:limit]]
 
 
 def host(url):
@@ -119,9 +125,11 @@ def _scores(model: Model, markup: bool):
         own = [t or "" for t in texts.to_pylist()]
         total, many = model.score([strip_markup(t) for t in own] if markup else own)
         flat = np.concatenate([total, many[:, None].astype(np.float64)], axis=1)
+        shared.trim()
         return pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), flat.shape[1]).cast(pa.list_(pa.float64()))
 
-    return F.arrow_udf(run, "array<double>")
+    # Not deterministic to Spark, so that no filter on what follows from a score computes it again.
+    return F.arrow_udf(run, "array<double>").asNondeterministic()
 
 
 def _posterior(model: Model, rows: DataFrame) -> DataFrame:
@@ -142,21 +150,21 @@ def identify(rows: DataFrame, model: Model, text: str = "text", declared=None, u
     unknown declared language, suffix or host; a row without any evidence is rejected, as is one whose
     text is long enough to judge and unlike every language. Ties go to the language that comes first
     in the alphabet. Every row is decided on its own, so repeated rows and ids do not matter; an empty
-    table gives none. Names that begin with an underscore and clash are replaced within, and lost.
+    table gives none.
     """
     languages, n = model.languages, len(model.languages)
     keep = [c for c in rows.columns if c not in ("lang_id", "lang_posterior", "lang_rejected")]
     where = host(url) if url is not None else (F.lower(place.cast("string")) if place is not None else F.lit(None).cast("string"))
-    rows = rows.select(*(F.col(f"`{c}`") for c in keep), F.nullif(where, F.lit("")).alias("_host"), F.lower(F.substring(declared, 1, 2)).alias("_told") if declared is not None else F.lit(None).cast("string").alias("_told"))
+    told = F.lower(F.substring(declared, 1, 2)) if declared is not None else F.lit(None).cast("string")
+    # The row is one value here, so that none of its names meets those below.
+    rows = rows.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row"), F.nullif(where, F.lit("")).alias("_host"), told.alias("_told"))
     suffix = F.when(F.instr("_host", ".") > 0, F.substring_index("_host", ".", -1)) if url is not None else F.lit(None).cast("string")
     rows = rows.withColumns({"_told": F.when(F.col("_told").isin(languages), F.col("_told")), "_suffix": suffix, "_domain": F.substring_index("_host", ".", -2)})
-    rows = _posterior(model, rows.withColumn("_score", _scores(model, markup)(F.col(f"`{text}`"))))
+    rows = _posterior(model, rows.withColumn("_score", _scores(model, markup)(F.col("_row")[text])))
 
     # One aggregation over the corpus; what the driver gets is bounded by languages and suffixes.
     counts = rows.where("_text is not null").groupBy("_host", "_domain", "_suffix", "_told", "_text").agg(F.count("*").alias("n"))
-    from .shared import cut
-
-    counts = cut(counts, "lang-counts")
+    counts = shared.cut(counts, "lang-counts")
     told = _given(counts, "_told", n)
     tail = _given(counts.where(F.length("_suffix") <= 3), "_suffix", n)
     total = {r["_text"]: r["n"] for r in counts.groupBy("_text").agg(F.sum("n").alias("n")).collect()}
@@ -167,7 +175,7 @@ def identify(rows: DataFrame, model: Model, text: str = "text", declared=None, u
     hosts = by("_host").select(F.col("_host").alias("_h"), pack("_hc"))
     domains = by("_domain").select(F.col("_domain").alias("_d"), pack("_dc"))
     small = lambda t: F.broadcast(t) if t.limit(SMALL + 1).count() <= SMALL else t
-    rows = rows.join(small(cut(hosts, "lang-hosts")), F.col("_host") == F.col("_h"), "left").join(small(cut(domains, "lang-domains")), F.col("_domain") == F.col("_d"), "left")
+    rows = rows.join(small(hosts), F.col("_host") == F.col("_h"), "left").join(small(domains), F.col("_domain") == F.col("_d"), "left")
 
     none = F.array(*[F.lit(0.0)] * n)
     own = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda j: F.when(F.col("_text") == j, 1.0).otherwise(0.0))
@@ -190,9 +198,9 @@ def identify(rows: DataFrame, model: Model, text: str = "text", declared=None, u
     if url is None and place is not None:
         # A source is a hint for a text, not in place of one.
         evidence = F.col("_known") | F.col("_told").isNotNull()
-    rejected = strange | ~evidence | (F.col("_sure") < SURE)
+    rejected = strange | ~evidence | (F.col("_sure") < SURE) | F.lit(languages == [UNKNOWN])
     name = F.element_at(F.array(*map(F.lit, languages)), F.array_position("_sum", F.col("_top")).cast("int"))
-    return rows.select(*(F.col(f"`{c}`") for c in keep), F.when(rejected, F.lit(UNKNOWN)).otherwise(name).alias("lang_id"), F.when(rejected, F.lit(0.0)).otherwise(F.col("_sure")).alias("lang_posterior"), rejected.alias("lang_rejected"))
+    return rows.select(*(F.col("_row")[c].alias(c) for c in keep), F.when(rejected, F.lit(UNKNOWN)).otherwise(name).alias("lang_id"), F.when(rejected, F.lit(0.0)).otherwise(F.col("_sure")).alias("lang_posterior"), rejected.alias("lang_rejected"))
 
 
 def _given(counts: DataFrame, column: str, n: int) -> dict[str, list[float]]:

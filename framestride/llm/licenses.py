@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shingles
+from . import shared, shingles
 
 # Licence families (SPDX-like names) and sentences by which texts usually grant them.
 TEMPLATES = {
@@ -242,10 +242,11 @@ def _scan(model: Model):
 
 def sample(docs: DataFrame, limit: int = SAMPLE) -> list[str]:
     """At most `limit` lines of docs: one line of each of those documents with the least hash."""
-    rows = docs.where("text is not null").select(F.xxhash64("doc_id", F.length("text")).alias("h"), "text")
+    rows = shared.pick(docs.select("doc_id", "text").where("text is not null"), limit, "doc_id", "text").withColumn("h", F.xxhash64("doc_id", "text"))
     pick = F.split("text", "\n")
     line = F.element_at(pick, (F.pmod(F.col("h"), F.size(pick)) + 1).cast("int"))
-    return [r["line"] for r in rows.select("h", F.substring(line, 1, 5000).alias("line")).orderBy("h", "line").limit(limit).collect()]
+    picked = rows.select("h", F.substring(line, 1, 5000).alias("line")).collect()
+    return [r["line"] for r in sorted(picked, key=lambda r: (r["h"], r["line"]))[:limit]]
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:

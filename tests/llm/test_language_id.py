@@ -69,9 +69,9 @@ def test_the_posterior_is_the_product_of_the_evidence(spark, model):
 
 def test_edge_cases(spark, model):
     rows = [(1, None, None), (2, "", None), (3, "!!! 123", "x"), (4, "漢字仮名交じり文の例です。" * 30, "x"), (5, "the and of that", None), (5, "the and of that", None), (None, "der und die das nicht", "x"), (7, "the and of " * 200_000, "x")]
-    docs = spark.createDataFrame([(*r, "old", True) for r in rows], "doc_id bigint, text string, source string, lang_id string, lang_rejected boolean")
+    docs = spark.createDataFrame([(*r, "old", True, "x") for r in rows], "doc_id bigint, text string, source string, lang_id string, lang_rejected boolean, _host string")
     got = language_id.identify(docs, model, place=F.col("source"))
-    assert got.columns == ["doc_id", "text", "source", "lang_id", "lang_posterior", "lang_rejected"]
+    assert got.columns == ["doc_id", "text", "source", "_host", "lang_id", "lang_posterior", "lang_rejected"]
     seen = sorted((repr(r["doc_id"]), r["lang_id"], r["lang_rejected"]) for r in got.collect())
     assert seen == [("1", "und", True), ("2", "und", True), ("3", "und", True), ("4", "und", True), ("5", "en", False), ("5", "en", False), ("7", "en", False), ("None", "de", False)]
     assert language_id.identify(docs.limit(0), model, place=F.col("source")).count() == 0
@@ -83,3 +83,11 @@ def test_markup_and_hosts(spark):
     assert [r[0] for r in rows.select(language_id.host(F.col("u"))).collect()] == ["host.example.de", "", None]
     page = spark.createDataFrame([('<!DOCTYPE html><HTML class="a" lang=\'de-AT\'>',), ("<p lang=en>",)], "h string")
     assert [r[0] for r in page.select(language_id.declared_language(F.col("h"))).collect()] == ["de", ""]
+
+
+def test_without_labels(spark):
+    docs = spark.createDataFrame([(1, "some text that is long enough to judge", None, "x"), (None, None, None, None)], "doc_id bigint, text string, lang string, source string")
+    assert [r["lang_rejected"] for r in language_id.documents(docs).collect()] == [True, True]
+    assert language_id.documents(docs.limit(0)).count() == 0
+    alike = spark.createDataFrame([(None, "the same words", "en", "x")] * 50, docs.schema)
+    assert {r["lang_id"] for r in language_id.documents(alike).collect()} == {"en"}

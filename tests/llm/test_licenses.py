@@ -45,3 +45,9 @@ def test_edge_cases(spark, model):
     got = sorted((repr(r["doc_id"]), r["families"], [x["line"] for x in r["findings"]]) for r in licenses.scan(docs, model).collect())
     assert got == [("1", [], []), ("2", [], []), ("3", [], []), ("4", ["MIT"], [0]), ("4", ["MIT"], [0]), ("5", ["MIT"], [1]), ("6", [], []), ("None", ["MIT", "Proprietary"], [1, 2])]
     assert licenses.scan(docs.limit(0), model).count() == 0
+
+
+def test_sampling_of_few_and_null_rows(spark):
+    docs = spark.createDataFrame([(None, None), (None, "a line"), (None, "a line")], "doc_id bigint, text string")
+    assert licenses.sample(docs) == ["a line", "a line"] and licenses.sample(docs.limit(0)) == []
+    assert [r["families"] for r in licenses.scan(docs).collect()] == [[], [], []]
