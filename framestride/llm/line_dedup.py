@@ -188,7 +188,7 @@ def _repeats(docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, k, gone): the lines to delete of each document that has some; k is the text's MD5."""
     kind = dict(docs.dtypes)["doc_id"]
     base = docs.select("doc_id", F.unhex(F.md5(F.col("text"))).alias("k"), "text").where("text is not null")
-    lined = base.mapInArrow(_lines(least), f"doc_id {kind}, k binary, lines array<bigint>, words array<bigint>, keys array<bigint>")
+    lined = base.mapInArrow(shared.tidy(_lines(least)), f"doc_id {kind}, k binary, lines array<bigint>, words array<bigint>, keys array<bigint>")
     # doc: 24 bytes that order documents by doc_id (null last) and then by their text's digest.
     order = F.when(F.col("doc_id").isNull(), F.lit("ff" * 8)).otherwise(F.lpad(F.hex(F.col("doc_id").cast("bigint").bitwiseXOR(F.lit(-(2**63)).cast("bigint"))), 16, "0"))
     lined = shared.cut(lined.withColumn("doc", F.concat(F.unhex(order), F.col("k"))), "line-docs")
@@ -200,7 +200,7 @@ def _repeats(docs: DataFrame, least: int) -> DataFrame:
     body = lined.select(F.col("doc").alias("of"), "lines", "words").dropDuplicates(["of"])
     ask = dealt.select(F.col("doc").alias("of"), "a", "salt", "doc").unionAll(dealt.select(F.col("a").alias("of"), "a", "salt", F.lit(None).cast("binary").alias("doc")).distinct())
     rows = ask.join(body, "of").select("a", "salt", "doc", "lines", "words").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("doc").isNotNull())
-    gone = rows.mapInArrow(_compare(least), "doc binary, gone array<bigint>").groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    gone = rows.mapInArrow(shared.tidy(_compare(least)), "doc binary, gone array<bigint>").groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
     return shared.cut(lined.select("doc_id", "k", "doc").distinct().join(gone, "doc").select("doc_id", "k", "gone"), "line-gone")
 
 

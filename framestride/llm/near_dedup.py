@@ -201,7 +201,7 @@ def _verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFram
     # Each text is sent once to its key, where one row per wanted pair or leader run takes it on.
     rows = ask.join(_held(ask.select("k").distinct(), signed, texts), "k").select("a", "salt", "b", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").isNotNull())
-    return rows.mapInArrow(_verify, "a binary, b binary")
+    return rows.mapInArrow(shared.tidy(_verify), "a binary, b binary")
 
 
 def _likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def _rest(member: DataFrame, root: DataFrame, signed: DataFrame, texts: DataFram
     main = by.groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("all")).where("parts > 1")
     main = main.select("bucket", F.col("main.root").alias("main"), F.ceil((F.col("all") - F.col("main.m")) / BLOCK).alias("blocks"))
     mixed = shared.cut(rooted.join(main, "bucket").withColumn("is_main", F.col("root") == F.col("main")).drop("main"), "near-mixed")
-    sharp = _held(mixed.select("k").distinct(), signed, texts).mapInArrow(_sharpen, "k binary, sharp binary")
+    sharp = _held(mixed.select("k").distinct(), signed, texts).mapInArrow(shared.tidy(_sharpen), "k binary, sharp binary")
     full = mixed.join(sharp.join(signed.select("k", "bands"), "k"), "k")
     # The texts of a block come first, then all of the bucket, once a block.
     column = ["bucket", "block", "away", "k", "root", "is_main", "bands", "sharp"]
@@ -227,7 +227,7 @@ def _rest(member: DataFrame, root: DataFrame, signed: DataFrame, texts: DataFram
     here = F.when(F.col("is_main"), every).otherwise(F.concat(every, F.array(F.struct(block.alias("block"), F.lit(True).alias("away")))))
     rows = full.select("*", F.explode(here).alias("at")).select("*", "at.*").select(*column)
     rows = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", F.desc("away"))
-    return rows.mapInArrow(_compare, "a binary, b binary")
+    return rows.mapInArrow(shared.tidy(_compare), "a binary, b binary")
 
 
 def _classes(docs: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     """
     base = docs.select("doc_id", "text").where("text is not null")
     keyed = base.select("doc_id", F.unhex(F.md5(F.col("text"))).alias("k"), "text")
-    signed = keyed.mapInArrow(_sign, f"doc_id {dict(base.dtypes)['doc_id']}, k binary, bands array<bigint>, low binary")
+    signed = keyed.mapInArrow(shared.tidy(_sign), f"doc_id {dict(base.dtypes)['doc_id']}, k binary, bands array<bigint>, low binary")
     signed = shared.cut(signed.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("low").alias("low")), "near-signed")
 
     spread = signed.select("k", F.explode("bands").alias("bucket"))

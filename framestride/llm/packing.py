@@ -27,7 +27,7 @@ END = 1
 #: Pieces of one length that are ranked in one bucket, about.
 BUCKET = 50_000
 #: Words whose ids a worker remembers, in each of two generations.
-REMEMBER = 500_000
+REMEMBER = 300_000
 
 
 #: Stands for the mark of a word's end; no byte of UTF-8 has this value.
@@ -135,6 +135,11 @@ def ids(texts: list[str | None], path: str, ranks: tuple | None = None) -> list[
     return [known.encode(t) if any(c in t for c in _ODD) else b"".join(map(get, t.split())) for t in (t or "" for t in texts)]
 
 
+def forget() -> None:
+    """Drop all words: workers outlive tasks, and to learn the words of each task anew costs next to nothing."""
+    _known.clear()
+
+
 def _pieces(path: str, ranks: tuple | None, size: int, end: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = int(end).to_bytes(4, "little")
@@ -152,6 +157,7 @@ def _pieces(path: str, ranks: tuple | None, size: int, end: int):
                         crc.append(zlib.crc32(x[4 * at : 4 * (at + size)]))
                         total.append(n)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64()))] + [pa.array(x, pa.int64()) for x in (start, length, crc, total)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        forget()
 
     return run
 
@@ -236,7 +242,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFr
     read; no documents give no pieces.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    piece = docs.select("doc_id", "text").mapInArrow(_pieces(path, merge_ranks(path), size, end), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    piece = docs.select("doc_id", "text").mapInArrow(shared.tidy(_pieces(path, merge_ranks(path), size, end)), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
     piece = shared.cut(piece, "pack-pieces")
     count = {r["length"]: r["count"] for r in piece.groupBy("length").count().collect()}  # at most `size` rows
     rows = plan(count, size)
