@@ -27,7 +27,7 @@ END = 1
 #: Pieces of one length that are ranked in one bucket, about.
 BUCKET = 50_000
 #: Words whose ids a worker remembers, in each of two generations.
-REMEMBER = 300_000
+REMEMBER = 500_000
 
 
 #: Stands for the mark of a word's end; no byte of UTF-8 has this value.
