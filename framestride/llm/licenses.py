@@ -1,16 +1,18 @@
 """License scans: a trained paragraph classifier with a calibrated unknown class and template checks.
 
-Paragraphs are the lines of a text. A multinomial logistic regression over hashed word unigrams,
-bigrams and trigrams (each paragraph's vector has length 1) gives each paragraph a licence family
-or none. It is trained on spoken variants of the templates below, against a bounded sample of the
-corpus's own paragraphs and sentences that speak about licences without granting one. The unknown
-class is calibrated: the margin by which a family must beat "none" is set on held-out paragraphs
-that hold no licence. A prediction counts once the family's templates confirm it: enough of a
-template's words, in order, are in the paragraph.
+A paragraph is the lines of a text up to a blank one. A multinomial logistic regression over
+hashed word unigrams, bigrams and trigrams (each vector has length 1) judges its lines and
+overlapping windows of SCALES words, which cross the ends of lines. It is trained on spoken variants
+of the templates below, against a bounded sample of the corpus's own lines and sentences that speak
+about licences without granting one. The unknown class is calibrated: the margin by which a family
+must beat "none" is set on held-out lines that hold no licence, and on their windows of each size.
+Every family that beats it counts once its templates confirm it: enough of a template's words, in
+order, are in the paragraph about the window.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -83,6 +85,14 @@ SAMPLE = 4000
 VARIANTS = 30
 #: Share of a template's words that must be in the paragraph, in order.
 CONFIRM = 0.75
+#: Words that make another licence of the one whose words they stand among.
+APART = frozenset("affero lesser nc nd noncommercial noderivatives noderivs sa sharealike".split())
+#: Words of a window; windows begin a quarter of their size apart, and lines up to the largest are windows too.
+SCALES = (4, 8, 16, 32, 64)
+#: Words that are scored at once.
+STEP = 1 << 12
+#: Long lines are tokenised in pieces of about so many characters.
+PIECE = 400
 #: Rate of held-out paragraphs without a licence that may pass the margin before confirmation.
 FALSE = 0.001
 
@@ -92,18 +102,25 @@ def features(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     h, at = shingles.words(lines)
     n = np.diff(at)
     own = np.repeat(np.arange(len(lines)), n)
-    grams, doc = [shingles.mix(h + np.uint64(1))], [own]
-    for k in (2, 3):
-        if len(h) >= k:
-            same = own[k - 1 :] == own[: len(own) - k + 1]
-            total = h[: len(h) - k + 1].copy()
-            for j in range(1, k):
-                total = shingles.mix(total) * np.uint64(31) + h[j : len(h) - k + 1 + j]
-            grams.append(shingles.mix(total + np.uint64(k))[same])
-            doc.append(own[: len(own) - k + 1][same])
+    grams, doc = [], []
+    for k, gram in enumerate(_grams(h), 1):
+        same = own[k - 1 :] == own[: len(gram)]
+        grams.append(gram[same])
+        doc.append(own[: len(gram)][same])
     doc, grams = np.concatenate(doc), np.concatenate(grams)
     order = np.argsort(doc, kind="stable")
-    return (grams[order] % np.uint64(BUCKETS)).astype(np.int64), np.searchsorted(doc[order], np.arange(len(lines) + 1))
+    return grams[order], np.searchsorted(doc[order], np.arange(len(lines) + 1))
+
+
+def _grams(h: np.ndarray) -> list[np.ndarray]:
+    """Buckets of the 1-, 2- and 3-grams that begin at each word, as far as there are enough words."""
+    out = []
+    for k in range(1, min(3, max(len(h), 1)) + 1):
+        total = h[: len(h) - k + 1].copy()
+        for j in range(1, k):
+            total = shingles.mix(total) * np.uint64(31) + h[j : len(h) - k + 1 + j]
+        out.append((shingles.mix(total + np.uint64(k)) % np.uint64(BUCKETS)).astype(np.int64))
+    return out
 
 
 @dataclass
@@ -111,6 +128,8 @@ class Model:
     families: list[str]
     weights: np.ndarray
     margin: float
+    #: The margin of windows of each of SCALES, beside that of whole lines.
+    margins: tuple[float, ...] = ()
 
     def logits(self, lines: list[str]) -> np.ndarray:
         """Per line the log-odds of each family and, last, of none; a line without words is none."""
@@ -128,6 +147,36 @@ class Model:
         best = z[:, :-1].argmax(1)
         return best, z[np.arange(len(z)), best] - z[:, -1]
 
+    def windows(self, h: np.ndarray, lines: np.ndarray, paragraphs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(scale, begins, ends, odds) of windows of the words h; lines and paragraphs are the words' offsets.
+
+        odds are by how much the log-odds of each family beat those of none. The scale is an index of
+        SCALES, or -1 for whole lines. A paragraph that is shorter than a scale, but not than the one
+        below, is one window.
+        """
+        over = (self.weights[:, :-1] - self.weights[:, -1:]).astype(np.float32)
+        size = np.diff(paragraphs)
+        first, last = np.repeat(paragraphs[:-1], size), np.repeat(paragraphs[1:], size)
+        short = np.diff(lines)
+        short = np.flatnonzero((short > 0) & (short <= SCALES[-1]))
+        for a in range(0, len(h), STEP):
+            b = min(len(h), a + STEP)
+            total = [np.concatenate([np.zeros((1, over.shape[1])), np.cumsum(over[g], axis=0, dtype=np.float64)]) for g in _grams(h[a : b + SCALES[-1]])]
+            at = np.arange(a, b)
+            before, left = at - first[a:b], last[a:b] - at
+            own = short[slice(*np.searchsorted(lines[short], [a, b]))]
+            spans = [(-1, lines[own], lines[own + 1])]
+            for i, n in enumerate(SCALES):
+                whole = (before == 0) & (left < n) & (left >= (SCALES[i - 1] if i else 1))
+                begin = at[(left >= n) & (before % (n // 4) == 0) | (left == n) | whole]
+                spans.append((i, begin, np.minimum(begin + n, last[begin])))
+            for i, begin, end in spans:
+                n = end - begin
+                odds = np.zeros((len(n), over.shape[1]))
+                for k, t in enumerate(total):
+                    odds += t[np.maximum(end - k, begin) - a] - t[begin - a]
+                yield i, begin, end, odds / np.sqrt(n + np.maximum(n - 1, 0) + np.maximum(n - 2, 0))[:, None]
+
 
 def variants(seed: int = 7) -> tuple[list[str], list[str]]:
     """(lines, families): the templates, changed in the ways that texts change them."""
@@ -183,11 +232,21 @@ def train(without: list[str], rounds: int = 60, rate: float = 4.0, decay: float
     weights = np.zeros((BUCKETS, k), np.float64)
     weights[used] = w
     model = Model(families, weights, 0.0)
-    over = np.sort(model.beat(hold)[1]) if hold else np.array([0.0])
-    model.margin = float(max(0.0, over[min(len(over) - 1, int(len(over) * (1 - FALSE)))]))
+    model.margin = _margin(model.beat(hold)[1])
+    h, at = shingles.words(hold)
+    over: list[list[np.ndarray]] = [[] for _ in SCALES]
+    for i, _, _, odds in model.windows(h, at, at):
+        if i >= 0:
+            over[i].append(odds.max(1))
+    # Equal windows count once, or a line that repeats one word would set the margin.
+    model.margins = tuple(_margin(np.unique(np.concatenate([np.zeros(0), *x]).round(9))) for x in over)
     return model
 
 
+def _margin(over: np.ndarray) -> float:
+    return float(max(0.0, np.sort(over)[min(len(over) - 1, int(len(over) * (1 - FALSE)))])) if len(over) else 0.0
+
+
 def _tokens(text: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in text.lower()).split()
 
@@ -195,45 +254,117 @@ def _tokens(text: str) -> list[str]:
 _WORDS = {family: [_tokens(t) for t in templates] for family, templates in TEMPLATES.items()}
 
 
-def confirmed(line: str, family: str) -> float:
-    """The largest share of a template of the family that the line holds in order, if at least CONFIRM, else 0.
+_LONGEST = max(len(t) for ts in _WORDS.values() for t in ts)
+
+
+def _align(have: list[str], want: list[str], at: int) -> tuple[int, int]:
+    """(words of the template want, in order, in have from a word on; the end of the last of them).
+
+    It ends where more than 8 other words follow one another, and is none if a word of APART or
+    another number than the template's is among them, or a word of APART is missing.
+    """
+    i = hit = gap = 0
+    end = at
+    for p in range(at, len(have)):
+        word, near = have[p], want[i : i + 3]
+        if word in near:
+            to = want.index(word, i)
+            if not APART.isdisjoint(want[i:to]):
+                return 0, at
+            i, hit, gap, end = to + 1, hit + 1, 0, p + 1
+            if i == len(want):
+                break
+        elif word in APART or word.isdigit() and any(x.isdigit() for x in near):
+            return 0, at
+        else:
+            gap += 1
+            if gap > 8:
+                break
+    return (hit, end) if APART.isdisjoint(want[i:]) else (0, at)
+
+
+def _matches(have: list[str], family: str) -> list[tuple[float, int, int]]:
+    """(share, begin, end) of the words of have that hold enough of a template of the family, the largest shares first; none overlap.
 
     Short templates must be whole; the words that tell families apart decide between near templates.
     """
-    have, best = _tokens(line), 0.0
+    own, found = set(have), []
     for want in _WORDS[family]:
-        i = hit = 0
-        gap = 0
-        for word in have:
-            if i < len(want) and word in want[i : i + 3]:
-                i = want.index(word, i) + 1
-                hit += 1
-                gap = 0
-            elif hit:
-                gap += 1
-                if gap > 8 and i < len(want):
-                    best = max(best, hit / len(want))
-                    i = hit = gap = 0
-        share = hit / len(want)
-        if share >= (CONFIRM if len(want) > 8 else 1.0):
-            best = max(best, share)
-    return best if best >= CONFIRM else 0.0
+        short = len(want) <= 8
+        need = 1.0 if short else CONFIRM
+        if sum(w in own for w in want) < need * len(want):
+            continue
+        first = want[: 1 if short else 3]
+        for p, word in enumerate(have):
+            if word in first:
+                hit, end = _align(have, want, p)
+                if hit / len(want) >= need:
+                    found.append((hit / len(want), p, end))
+    out: list[tuple[float, int, int]] = []
+    for x in sorted(found, key=lambda x: (-x[0], x[1] - x[2], x[1])):
+        if all(x[2] <= y[1] or x[1] >= y[2] for y in out):
+            out.append(x)
+    return out
+
+
+def confirmed(line: str, family: str) -> float:
+    """The largest share of a template of the family that the line holds in order, if at least CONFIRM, else 0."""
+    return max((x[0] for x in _matches(_tokens(line), family)), default=0.0)
+
+
+def _pieces(text: str) -> Iterator[tuple[int, str]]:
+    """(line, text) of the lines, the long ones cut before white space."""
+    for j, line in enumerate(text.split("\n")):
+        for x in re.findall(rf"(?s).{{1,{PIECE}}}\S*", line) if len(line) > PIECE else (line,):
+            yield j, x
+
+
+def _findings(model: Model, texts: list[str | None]) -> list[list[dict]]:
+    pieces = [(i, j, x) for i, t in enumerate(texts) for j, x in _pieces(t or "")]
+    h, at = shingles.words([x for _, _, x in pieces])
+    doc, line = np.array([p[0] for p in pieces]), np.array([p[1] for p in pieces])
+    begins = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])]))
+    lines = at[np.append(begins, len(pieces))]
+    blank = np.array([not pieces[k][2].strip() for k in begins])
+    new = np.concatenate([[True], (doc[begins][1:] != doc[begins][:-1]) | blank[:-1]])
+    paragraphs = np.append(lines[:-1][new], len(h))
+    paragraphs = paragraphs[np.concatenate([[True], np.diff(paragraphs) > 0])]
+    spans: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
+    for i, begin, end, odds in model.windows(h, lines, paragraphs):
+        for w, f in zip(*np.nonzero(odds > (model.margins[i] if i >= 0 else model.margin)), strict=True):
+            p = int(np.searchsorted(paragraphs, begin[w], "right")) - 1
+            spans.setdefault((p, int(f)), []).append((int(begin[w]), int(end[w]), float(odds[w, f])))
+    best: dict[tuple[int, int, str], dict] = {}
+    for (p, f), windows in spans.items():
+        family, joined = model.families[f], []
+        for begin, end, odds in sorted(windows):
+            begin, end = max(begin - _LONGEST, int(paragraphs[p])), min(end + _LONGEST, int(paragraphs[p + 1]))
+            if joined and begin <= joined[-1][1]:
+                joined[-1] = (joined[-1][0], max(end, joined[-1][1]), max(odds, joined[-1][2]))
+            else:
+                joined.append((begin, end, odds))
+        for begin, end, odds in joined:
+            a, b = int(np.searchsorted(at, begin, "right")) - 1, int(np.searchsorted(at, end, "left"))
+            have = [_tokens(x) for _, _, x in pieces[a:b]]
+            ends = np.cumsum([len(x) for x in have])
+            for share, word, _ in _matches([w for x in have for w in x], family):
+                i, j, _ = pieces[a + int(np.searchsorted(ends, word, "right"))]
+                key = (i, j, family)
+                if key not in best or (best[key]["template"], best[key]["odds"]) < (share, odds):
+                    best[key] = {"line": j, "family": family, "odds": odds, "template": share}
+    found: list[list[dict]] = [[] for _ in texts]
+    for key in sorted(best):
+        found[key[0]].append(best[key])
+    return found
 
 
 def _scan(model: Model):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("line", pa.int32()), ("family", pa.string()), ("odds", pa.float64()), ("template", pa.float64())]))
         for part in parts:
             texts = part.column("text").to_pylist()
             for a, b in shingles.batches(texts):
-                lines = [(i, j, x) for i in range(a, b) for j, x in enumerate((texts[i] or "").split("\n"))]
-                found: list[list[dict]] = [[] for _ in range(b - a)]
-                best, over = model.beat([x for _, _, x in lines])
-                for at in np.flatnonzero(over > model.margin):
-                    i, j, line = lines[at]
-                    family = model.families[best[at]]
-                    if share := confirmed(line, family):
-                        found[i - a].append({"line": j, "family": family, "odds": float(over[at]), "template": share})
-                kind = pa.list_(pa.struct([("line", pa.int32()), ("family", pa.string()), ("odds", pa.float64()), ("template", pa.float64())]))
+                found = _findings(model, texts[a:b])
                 names = [sorted({x["family"] for x in f}) for f in found]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(a, b - a), pa.array(names, pa.list_(pa.string())), pa.array(found, kind)], ["doc_id", "families", "findings"])
 
@@ -254,7 +385,8 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     families are in the alphabet's order; a null, empty or licence-free text has none. Every row is
     decided on its own, so repeated rows and null ids stay as they are; no documents give no rows.
-    Ties between families go to the first in the alphabet. Lines count from 0. Other columns are not read.
+    A finding's line is that on which the template's words begin, counted from 0; a line has one finding a family at
+    most. Other columns are not read.
     """
     model = model or train(sample(docs))
     return docs.select("doc_id", "text").mapInArrow(_scan(model), f"doc_id {dict(docs.dtypes)['doc_id']}, families array<string>, findings array<struct<line: int, family: string, odds: double, template: double>>")

@@ -51,3 +51,45 @@ def test_sampling_of_few_and_null_rows(spark):
     docs = spark.createDataFrame([(None, None), (None, "a line"), (None, "a line")], "doc_id bigint, text string")
     assert licenses.sample(docs) == ["a line", "a line"] and licenses.sample(docs.limit(0)) == []
     assert [r["families"] for r in licenses.scan(docs).collect()] == [[], [], []]
+
+
+MIT = """MIT License
+
+Copyright (c) 2024 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+
+
+def test_wrapped_notices_and_grants_in_long_lines(spark, model):
+    words = "the old house by the river was sold to a farmer who kept horses there ".split()
+    long = lambda n: " " + " ".join(words * n) + " "
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    rows = [
+        (MIT, [("MIT", 4)]),
+        (BSD, [("BSD-3-Clause", 0)]),
+        (GPL, [("GPL-3.0", 0)]),
+        ("\n".join(GPL.replace("#", "").split()), [("GPL-3.0", 0)]),
+        (GPL.replace("version 3", "version 2"), []),
+        (GPL.replace("GNU General", "GNU Affero General"), []),
+        (long(300) + mit + " " + long(300), [("MIT", 0)]),
+        (long(300) + mit + " " + long(300) + apache + " " + long(300), [("Apache-2.0", 0), ("MIT", 0)]),
+        (mit + " " + apache, [("Apache-2.0", 0), ("MIT", 0)]),
+        ("Licensed to the farmer. Licensed under the MIT License.", [("MIT", 0)]),
+        ("Licensed under CC BY-NC 4.0.", [("CC-BY-NC-4.0", 0)]),
+        (long(6000) + "\n" + long(3) + "\n" + mit + "\n" + long(3), [("MIT", 2)]),
+        ("Released under the\n\nMIT License.", []),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id bigint, text string")
+    got = {r["doc_id"]: sorted((x["family"], x["line"]) for x in r["findings"]) for r in licenses.scan(docs, model).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(rows)}
