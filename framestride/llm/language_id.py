@@ -1,7 +1,7 @@
 """Language ID by Bayesian fusion of text, declared markup language, address suffix and host priors.
 
 Text: log-likelihoods of hashed byte trigrams of lower-case letters under one multinomial per
-language, fitted on a bounded sample of labelled rows, tempered because neighbouring trigrams are
+language, fitted on a bounded sample of the labelled rows of every language, tempered because neighbouring trigrams are
 not independent. Declared language and address suffix: P(value | language), estimated over the whole
 corpus from what the texts alone say. Host: counts of text-only decisions by grouped aggregation,
 smoothed from host to domain to corpus, without the row's own count. A row's posterior is the product of all
@@ -13,17 +13,18 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared, shingles
 
-#: Labelled rows that the text model is fitted on, at most, and the longest text among them in characters.
+#: Labelled rows that the text model is fitted on, at most, and how many characters of each are read.
 SAMPLE, LONGEST = 3000, 20_000
 BUCKETS = 1 << 16
 TEMPER = 0.1
@@ -85,15 +86,19 @@ class Model:
 
 
 def train(rows: list[tuple[str, str]]) -> Model:
-    """Fit on four fifths of the labelled rows; the floor and the accuracy are from the last fifth.
+    """Fit on four fifths of each language's rows; the floor and the accuracy are from the last fifth.
 
-    Without any rows there is one language, 'und', and every row is rejected.
+    A language of fewer than 10 rows is fitted on all of them. Without any rows there is one language, 'und', and every row is rejected.
     """
     if not rows:
         return Model([UNKNOWN], np.zeros((BUCKETS, 1), np.float32), np.inf, 0.0)
     languages = sorted({lang for _, lang in rows})
-    hold = rows[::5] if len(rows) >= 10 else rows
-    fit = [r for i, r in enumerate(rows) if i % 5] if len(rows) >= 10 else rows
+    size, seen = Counter(lang for _, lang in rows), Counter()
+    hold, fit = [], []
+    for r in rows:
+        (hold if size[r[1]] >= 10 and seen[r[1]] % 5 == 0 else fit).append(r)
+        seen[r[1]] += 1
+    hold = hold or fit
     count = np.full((BUCKETS, len(languages)), 0.02)
     for j, lang in enumerate(languages):
         texts = [t for t, own in fit if own == lang]
@@ -110,10 +115,28 @@ def train(rows: list[tuple[str, str]]) -> Model:
 
 
 def sample(labelled: DataFrame, limit: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most `limit` rows of labelled (doc_id, text, lang), those of least hash, for train()."""
-    rows = shared.pick(labelled.where(F.col("lang").isNotNull()), limit, "doc_id", "text").where(F.length("text").between(1, LONGEST))
-    picked = rows.select(F.xxhash64("doc_id", "text").alias("h"), "text", "lang").collect()
-    return [(r["text"], r["lang"]) for r in sorted(picked, key=lambda r: (r["h"], r["text"]))[:limit]]
+    """At most `limit` rows of labelled (doc_id, text, lang) for train(), and one of each language at least.
+
+    The languages are those of all rows with a text. Each has the same quota, and what small ones leave
+    goes to the others. A language's rows are those of least hash, equal ones once, and the first
+    LONGEST characters of each. Only the languages and the sample reach the driver.
+    """
+    rows = labelled.where("lang is not null and length(text) > 0").select(F.xxhash64("doc_id", "text").alias("h"), "text", "lang")
+    many = sorted((r["n"], r["lang"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect())
+    if not many:
+        return []
+    plan, left = [], limit
+    for i, (n, lang) in enumerate(many):
+        quota = max(1, left // (len(many) - i))
+        # More pass the threshold than the quota asks for, by more than chance and the estimate of n can take away.
+        share = (1.3 * quota + 6 * quota**0.5 + 20) / n
+        plan.append((lang, quota, 2**63 - 1 if share >= 1 else int(-(2**63) + 2**64 * share)))
+        left -= min(n, quota)
+    quotas = labelled.sparkSession.createDataFrame(plan, "lang string, quota int, least bigint")
+    rows = rows.join(F.broadcast(quotas), "lang").where("h <= least").groupBy("lang", "quota", "h").agg(F.min(F.substring("text", 1, LONGEST)).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = rows.withColumn("rank", rank).where("rank <= quota").select("h", "text", "lang").collect()
+    return [(r["text"], r["lang"]) for r in sorted(picked, key=lambda r: (r["h"], r["text"], r["lang"]))]
 
 
 def host(url):

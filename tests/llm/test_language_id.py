@@ -91,3 +91,22 @@ def test_without_labels(spark):
     assert language_id.documents(docs.limit(0)).count() == 0
     alike = spark.createDataFrame([(None, "the same words", "en", "x")] * 50, docs.schema)
     assert {r["lang_id"] for r in language_id.documents(alike).collect()} == {"en"}
+
+
+def test_a_rare_language_beside_a_hot_one(spark):
+    """Five rows of one language, one of them long, among 20,000 of another."""
+    rng = np.random.default_rng(3)
+    hot, rare = "the of and that to in is was for it with as his on be at".split(), "ja on ei se oli hän mutta kun niin myös ovat sekä joka".split()
+    say = lambda words, n: " ".join(rng.choice(words, n))
+    rows = [(i, say(hot, 12), "en", "x") for i in range(20_000)] + [(20_000 + i, say(rare, 5000 if i == 0 else 60), "fi", "x") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    picked = language_id.sample(docs)
+    assert sorted(x for _, x in picked).count("fi") == 5 and len(picked) <= language_id.SAMPLE
+    assert max(len(t) for t, _ in picked) == language_id.LONGEST
+    got = language_id.documents(docs).where("lang = 'fi'").collect()
+    assert [(r["lang_id"], r["lang_rejected"]) for r in got] == [("fi", False)] * 5
+    # One row of a language is fitted on, not held out.
+    assert language_id.train([(rows[-1][1], "fi")] + [(r[1], "en") for r in rows[:100]]).score([rows[-2][1]])[0].argmax() == 1
+    # Rows that are all alike, many languages.
+    alike = spark.createDataFrame([(1, "the same words", "en", "x")] * 5000 + [(2, f"text {i}", f"l{i}", "x") for i in range(50)], docs.schema)
+    assert {x for _, x in language_id.sample(alike, 100)} == {"en", *(f"l{i}" for i in range(50))}
