@@ -185,11 +185,10 @@ def identify(rows: DataFrame, model: Model, text: str = "text", declared=None, u
     rows = rows.withColumns({"_told": F.when(F.col("_told").isin(languages), F.col("_told")), "_suffix": suffix, "_domain": F.substring_index("_host", ".", -2)})
     rows = _posterior(model, rows.withColumn("_score", _scores(model, markup)(F.col("_row")[text])))
 
-    # One aggregation over the corpus; what the driver gets is bounded by languages and suffixes.
+    # One aggregation over the corpus; what the driver gets is bounded by languages.
     counts = rows.where("_text is not null").groupBy("_host", "_domain", "_suffix", "_told", "_text").agg(F.count("*").alias("n"))
     counts = shared.cut(counts, "lang-counts")
     told = _given(counts, "_told", n)
-    tail = _given(counts.where(F.length("_suffix") <= 3), "_suffix", n)
     total = {r["_text"]: r["n"] for r in counts.groupBy("_text").agg(F.sum("n").alias("n")).collect()}
     corpus = [(total.get(j + 1, 0) + 1.0) / (sum(total.values()) + n) for j in range(n)]
 
@@ -199,6 +198,14 @@ def identify(rows: DataFrame, model: Model, text: str = "text", declared=None, u
     domains = by("_domain").select(F.col("_domain").alias("_d"), pack("_dc"))
     small = lambda t: F.broadcast(t) if t.limit(SMALL + 1).count() <= SMALL else t
     rows = rows.join(small(hosts), F.col("_host") == F.col("_h"), "left").join(small(domains), F.col("_domain") == F.col("_d"), "left")
+    if url is not None:
+        # log P(suffix | language) as in _given(), for every suffix there is.
+        tails = by("_suffix")
+        size = tails.agg(F.count("*"), *[F.sum(f"c{j}") for j in range(n)]).first()
+        given = F.array(*[F.ln((F.col(f"c{j}") + 1.0) / F.lit(float((size[j + 1] or 0) + size[0]))) for j in range(n)])
+        rows = rows.join(small(tails.select(F.col("_suffix").alias("_s"), given.alias("_tail"))), F.col("_suffix") == F.col("_s"), "left")
+    else:
+        rows = rows.withColumn("_tail", F.lit(None).cast("array<double>"))
 
     none = F.array(*[F.lit(0.0)] * n)
     own = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda j: F.when(F.col("_text") == j, 1.0).otherwise(0.0))
@@ -213,7 +220,7 @@ def identify(rows: DataFrame, model: Model, text: str = "text", declared=None, u
     rows = rows.withColumn("_domain_prior", F.when(F.col("_d").isNotNull(), smooth(F.col("_dc"), base)).otherwise(base))
     rows = rows.withColumn("_prior", F.when(F.col("_h").isNotNull(), smooth(F.col("_hc"), F.col("_domain_prior"))).otherwise(F.col("_domain_prior")))
     text_log = F.when(F.col("_known"), F.transform(F.slice("_score", 1, n), lambda x: x * TEMPER)).otherwise(none)
-    sum_ = F.zip_with(F.zip_with(text_log, F.transform("_prior", lambda p: F.ln(p)), lambda a, b: a + b), F.zip_with(log(told, "_told"), log(tail, "_suffix"), lambda a, b: a + b), lambda a, b: a + b)
+    sum_ = F.zip_with(F.zip_with(text_log, F.transform("_prior", lambda p: F.ln(p)), lambda a, b: a + b), F.zip_with(log(told, "_told"), F.coalesce("_tail", none), lambda a, b: a + b), lambda a, b: a + b)
     rows = rows.withColumn("_sum", sum_).withColumn("_top", F.array_max("_sum"))
     rows = rows.withColumn("_sure", 1.0 / F.aggregate(F.transform("_sum", lambda x: F.exp(x - F.col("_top"))), F.lit(0.0), lambda s, x: s + x))
     strange = (F.element_at("_score", n + 1) > 0) & ~F.col("_known")

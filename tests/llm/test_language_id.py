@@ -110,3 +110,18 @@ def test_a_rare_language_beside_a_hot_one(spark):
     # Rows that are all alike, many languages.
     alike = spark.createDataFrame([(1, "the same words", "en", "x")] * 5000 + [(2, f"text {i}", f"l{i}", "x") for i in range(50)], docs.schema)
     assert {x for _, x in language_id.sample(alike, 100)} == {"en", *(f"l{i}" for i in range(50))}
+
+
+def test_long_suffixes_are_evidence(spark, model):
+    """Suffixes of any length weigh as short ones do, for a row without a text."""
+    en, de = "the of and that to in is was " * 5, "der und die nicht ein ist von zu " * 5
+
+    def posterior(one, other):
+        rows = [(i, f"http://h{i}.{x}/", t) for i, (x, t) in enumerate([(one, de)] * 6 + [(other, en)] * 6)] + [(99, f"http://h0.{one}/", None)]
+        got = language_id.identify(spark.createDataFrame(rows, "i int, url string, text string"), model, url=F.col("url")).where("i = 99").first()
+        return got["lang_id"], got["lang_posterior"]
+
+    short = posterior("de", "uk")
+    for one, other in (("berlin", "info"), ("xn--p1ai", "london")):
+        long = posterior(one, other)
+        assert long[0] == short[0] == "de" and np.isclose(long[1], short[1])
