@@ -145,7 +145,7 @@ def _take(data: bytearray, whole: bool) -> tuple[dict, int] | None:
         raise _Bad("no version line")
     stop = data.find(b"\r\n\r\n")
     if stop < 0:
-        if whole or len(data) > 1 << 20:
+        if whole:
             raise _Bad("header without an end")
         return None
     line = data.find(b"\r\n")

@@ -97,3 +97,11 @@ def test_a_false_digest_or_length_is_found():
 def test_several_records_in_one_member():
     both = warc._member(one(1, b"a", False) + one(2, b"b", False))
     assert [x["payload"] for x in read(both + one(3, b"c"))] == [b"a", b"b", b"c"]
+
+
+@pytest.mark.parametrize("zipped", [True, False])
+def test_a_long_incompressible_url(zipped):
+    url = "http://a/" + os.urandom(1_000_000).hex()
+    raw = warc.record("response", "urn:page:1:X", url, b"x", 1, warc.digest(b"x"), None, "2020-01-01T00:00:00Z")
+    found = read((warc._member(raw) if zipped else raw) + one(2, b"y", zipped))
+    assert [(x["gap"], x.get("payload")) for x in found] == [(None, b"x"), (None, b"y")] and found[0]["target_uri"] == url
