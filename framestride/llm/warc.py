@@ -5,7 +5,8 @@ a manifest table, committed by Spark, names the archives, so files of lost or re
 never read. salvage() reads archives (gzip members or plain records). A member or record that fails
 a check (gzip CRC, version line, header, length, digest) is left, the reader searches for the next
 member or version line whose record passes, goes on there, and returns the bytes in between as a
-quarantined gap.
+quarantined gap. Of a damaged member of several records, those that pass are kept, and the search
+goes on in its inflated bytes.
 """
 
 from __future__ import annotations
@@ -178,24 +179,56 @@ def _take(data: bytearray, whole: bool) -> tuple[dict, int] | None:
     return {"record_type": kind, "record_id": bare("warc-record-id"), "target_uri": head.get("warc-target-uri"), "refers_to": bare("warc-refers-to"), "payload_digest": told or digest(payload), "payload_bytes": n, "payload": None if kind == "revisit" else payload, "gap": None}, end + 4
 
 
-def _gzip(f, at: int, size: int) -> tuple[list[dict], int]:
-    """Records of the member that begins at a byte, and the member's end. Raises _Bad."""
-    pack, data, out, place = zlib.decompressobj(31), bytearray(), [], at
-    try:
-        while not pack.eof:
-            chunk = f.read_at(min(CHUNK, size - place), place) if place < size else b""
-            if not chunk:
-                raise _Bad("member is cut short")
+def _gzip(f, at: int, size: int) -> tuple[list[dict], int, str | None]:
+    """Records and gaps of the member that begins at a byte, where reading ended, and why the rest is lost, if so.
+
+    After a record that fails, the inflated bytes are searched for the next one that passes; the gap
+    names them. Raises _Bad if no record passes, or if all do and the CRC differs, since that
+    may be any of them.
+    """
+    pack, data, out, place, base = zlib.decompressobj(31), bytearray(), [], at, 0
+    lost, broken, crc = None, None, False
+    gap = lambda: {"gap": f"{lost[1]} (inflated bytes {lost[0]} to {base})"}
+    while not pack.eof and broken is None:
+        chunk = f.read_at(min(CHUNK, size - place), place) if place < size else b""
+        before = pack.copy()
+        try:
             data += pack.decompress(chunk)
             place += len(chunk)
-            while data and (got := _take(data, pack.eof)):
-                out.append(got[0])
-                del data[: got[1]]
-    except zlib.error as e:
-        raise _Bad("member does not inflate or its CRC differs") from e
-    if data:
-        raise _Bad("member ends within a record")
-    return out, place - len(pack.unused_data)
+            if not chunk:
+                broken = "member is cut short"
+        except zlib.error:
+            broken = "member does not inflate or its CRC differs"
+            try:
+                for i in range(len(chunk)):
+                    data += before.decompress(chunk[i : i + 1])
+            except zlib.error as e:
+                crc = "incorrect" in str(e) and "check" in str(e) and "header" not in str(e)
+        done = pack.eof or broken is not None
+        while data:
+            try:
+                got = _take(data, done)
+            except _Bad as e:
+                lost = lost or (base, str(e))
+                n = data.find(VERSION, 1)
+                n = n if n >= 0 else len(data) if done else max(1, len(data) - len(VERSION) + 1)
+                del data[:n]
+                base += n
+                continue
+            if got is None:
+                break
+            if lost:
+                out.append(gap())
+                lost = None
+            out.append(got[0])
+            del data[: got[1]]
+            base += got[1]
+    if lost:
+        out.append(gap())
+    failed = [x["gap"] for x in out if x["gap"] is not None]
+    if out and len(failed) == len(out) or broken and not out or crc and not failed:
+        raise _Bad(broken or failed[0].partition(" (inflated")[0])
+    return out, place - len(pack.unused_data), broken
 
 
 def _plain(f, at: int, size: int) -> tuple[list[dict], int]:
@@ -212,10 +245,10 @@ def read(f, size: int) -> Iterator[dict]:
     """Records and gaps of one archive, in order of their bytes; f has read_at(n, offset)."""
     at, left, why = 0, None, ""
     while at < size:
-        begin = f.read_at(min(len(VERSION), size - at), at)
+        begin, broken = f.read_at(min(len(VERSION), size - at), at), None
         try:
             if begin.startswith(MAGIC):
-                found, end = _gzip(f, at, size)
+                found, end, broken = _gzip(f, at, size)
             elif begin == VERSION:
                 found, end = _plain(f, at, size)
             else:
@@ -225,7 +258,9 @@ def read(f, size: int) -> Iterator[dict]:
                 left = None
             for x in found:
                 yield x | {"begin": at, "end": end}
-            at = end
+            if broken:
+                left, why = at, broken
+            at = _next(f, at + 1, size) if broken else end
         except _Bad as e:
             if left is None:
                 left, why = at, str(e)

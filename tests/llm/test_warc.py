@@ -105,3 +105,24 @@ def test_a_long_incompressible_url(zipped):
     raw = warc.record("response", "urn:page:1:X", url, b"x", 1, warc.digest(b"x"), None, "2020-01-01T00:00:00Z")
     found = read((warc._member(raw) if zipped else raw) + one(2, b"y", zipped))
     assert [(x["gap"], x.get("payload")) for x in found] == [(None, b"x"), (None, b"y")] and found[0]["target_uri"] == url
+
+
+def test_damage_in_a_member_of_several_records():
+    raw = [one(i, os.urandom(50_000), False) for i in range(5)]
+    ids = lambda found: [x["record_id"].split(":")[2] for x in found if x["gap"] is None]
+    gaps = lambda found: [x["gap"] for x in found if x["gap"] is not None]
+    at = [sum(map(len, raw[:i])) for i in range(6)]
+    bad = bytearray(b"".join(raw))
+    bad[at[2] - 100] ^= 255
+    after = one(7)
+    found = read(warc._member(bytes(bad)) + after)
+    assert ids(found) == list("02347") and gaps(found) == [f"block digest differs (inflated bytes {at[1]} to {at[2]})"]
+    length = b"".join(raw).replace(b"Content-Length: 50", b"Content-Length: 95", 1)
+    assert ids(read(warc._member(length) + after)) == list("12347")
+    whole = warc._member(b"".join(raw))
+    found = read(whole[: len(whole) // 2])
+    assert ids(found) == list("01") and len(gaps(found)) > 0 and found[-1]["end"] == len(whole) // 2
+    torn = bytearray(whole)
+    torn[len(whole) // 2 : len(whole) // 2 + 5000] = b""
+    found = read(bytes(torn) + after)
+    assert ids(found)[:2] == list("01") and ids(found)[-1] == "7" and gaps(found)
