@@ -11,6 +11,9 @@ its window by its rank among the pieces of its length, and ranks are counted in
 from __future__ import annotations
 
 import json
+import math
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,14 +27,12 @@ from . import shared, shingles
 
 SIZE = 2048
 END = 1
-#: Pieces of one length that are ranked in one bucket, about.
-BUCKET = 50_000
-#: Words whose ids a worker remembers, in each of two generations.
-REMEMBER = 500_000
+#: Words outside U+00FF whose ids a worker remembers, of LONG characters at most: below 16 MB.
+WORDS, LONG = 50_000, 64
 
 
-#: Stands for the mark of a word's end; no byte of UTF-8 has this value.
-MARK = b"\xff"
+#: Stands for the mark of a word's end. Texts that hold this control character are left to the tokenizer.
+MARK = b"\x01"
 
 
 def _alphabet() -> dict[str, int]:
@@ -41,8 +42,8 @@ def _alphabet() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def merge_ranks(path: str) -> tuple[dict[bytes, int], list[int]] | None:
-    """(ranks by bytes, ids by rank) that merge words as the tokenizer file does, or None if that isn't sure.
+def merge_ranks(path: str) -> tuple[dict[bytes, int], list[int], list[str]] | None:
+    """(ranks by bytes, ids by rank, added tokens in lower case) that merge words as the tokenizer file does, or None if that isn't sure.
 
     The file merges listed pairs, in their order; ranks by bytes merge any pair whose bytes together
     are a token. Both give the same ids if no token comes from two pairs and the listed merges take
@@ -59,7 +60,7 @@ def merge_ranks(path: str) -> tuple[dict[bytes, int], list[int]] | None:
     bare = lambda t: bytes(of[c] for c in t.removesuffix(mark)) + MARK * t.endswith(mark)
     pairs = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
     rank = {p: i for i, p in enumerate(pairs)}
-    tokens = [bytes([b]) for b in range(256)] + [bytes([b]) + MARK for b in range(255)] + [bare(a) + bare(b) for a, b in pairs]
+    tokens = [bytes([b]) for b in range(256)] + [bytes([b]) + MARK for b in range(256)] + [bare(a) + bare(b) for a, b in pairs]
     if len(set(tokens)) < len(tokens):
         return None
     for a, b in pairs:
@@ -73,70 +74,79 @@ def merge_ranks(path: str) -> tuple[dict[bytes, int], list[int]] | None:
                 return None
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
     ids = {bare(t): i for t, i in model["vocab"].items() if all(c in of for c in t.removesuffix(mark))}
-    return {t: i for i, t in enumerate(tokens)}, [ids.get(t, -1) for t in tokens]
+    return {t: i for i, t in enumerate(tokens)}, [ids.get(t, -1) for t in tokens], [x["content"].lower() for x in told.get("added_tokens", [])]
 
 
-class WordIds(dict):
-    """Ids (as little-endian bytes) of the words between white space, for a tokenizer that drops white space.
+def _class(kinds: str) -> str:
+    """A character class of the characters up to U+00FF of some general categories."""
+    return "".join(f"\\x{i:02x}" for i in range(256) if unicodedata.category(chr(i))[0] in kinds and chr(i) not in _SPACES)
 
-    Such a tokenizer gives a text the ids of its words in turn, so each word is encoded once while it
-    is remembered. A letter and a full stop or comma after it are never in one token. Words of the
-    letters up to U+00FF, on which lower case and composition act one by one, are merged by
-    merge_ranks() where there are any; all others are given to the tokenizer.
+
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0"
+#: The pre-tokens that are not words: runs of signs and single digits, and before them contractions, if there are apostrophes.
+_SIGNS = re.compile(f"[{_class('PSCZMN')}](?:(?<![{_class('N')}])[{_class('PSCZM')}]+)?")
+_SHORT = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_class('PSCZM')}]+|[{_class('N')}]")
+#: What Python's split() takes for white space and the tokenizer does not.
+_ODD = tuple("\x1c\x1d\x1e\x1f")
+
+
+class WordIds:
+    """Ids (as little-endian bytes) of texts, for a tokenizer that drops white space.
+
+    In a text of characters up to U+00FF, on which lower case and composition act one by one, a mark
+    takes the place of white space and follows every pre-token, and all pieces between marks are
+    merged by merge_ranks() at once, so that nothing need be remembered from word to word. Any other
+    text gets the ids of its words in turn, from the tokenizer; WORDS of them are remembered.
     """
 
-    def __init__(self, path: str, ranks: tuple[dict[bytes, int], list[int]] | None):
+    def __init__(self, path: str, ranks: tuple[dict[bytes, int], list[int], list[str]] | None):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.old: dict[str, bytes] = {}
-        self.merge = None
-        if ranks:
-            self.merge = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks[0], special_tokens={})._core_bpe.encode_single_piece
-            self.raw = [(i % (1 << 32)).to_bytes(4, "little") for i in ranks[1]]
+        self.path, self.words, self.tokenizer, self.merge = path, {}, None, None
+        self.added = ranks[2] if ranks else []
+        if ranks and ranks[1] and min(ranks[1][256:], default=-1) >= 0:
+            self.merge = tiktoken.Encoding("words", pat_str="[^\x01]+\x01", mergeable_ranks=ranks[0], special_tokens={})
+            # Single bytes need no id of their own: the last one of a piece is joined with its mark before all else.
+            self.id = np.array(ranks[1], np.int64).astype(np.uint32)
 
-    def encode(self, text: str) -> bytes:
+    def _slow(self, text: str) -> bytes:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = self.tokenizer or Tokenizer.from_file(self.path)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        got = self.old.get(word)
-        if got is None:
-            if word[-1] in ".," and word[-2:-1].isalpha():
-                got = self[word[:-1]] + self[word[-1]]
-            elif self.merge and word.isalpha() and max(word) <= "\xff":
-                raw = self.raw
-                got = b"".join([raw[i] for i in self.merge(word.lower().encode() + MARK)])
-            else:
-                got = self.encode(word)
-        self[word] = got
+    def encode(self, text: str) -> bytes:
+        if self.merge and "\x01" not in text and (text.isascii() or max(text) <= "\xff"):
+            low = text.lower()
+            if not any(x in low for x in self.added):
+                marked = (_SHORT if "'" in low else _SIGNS).sub("\x01\\g<0>\x01", low) + "\x01"
+                for c in _SPACES:
+                    marked = marked.replace(c, "\x01")
+                return self.id[self.merge.encode_to_numpy(marked, disallowed_special=())].astype("<u4").tobytes()
+        if any(c in text for c in _ODD):
+            return self._slow(text)
+        return b"".join([self.words.get(w) or self._learn(w) for w in text.split()])
+
+    def _learn(self, word: str) -> bytes:
+        if len(self.words) >= WORDS:
+            self.words.clear()
+        got = self._slow(word)
+        if len(word) <= LONG:
+            self.words[word] = got
         return got
 
-    def trim(self) -> None:
-        """Forget what has not been met since the last time that there were too many words."""
-        if len(self) > REMEMBER:
-            self.old = dict(self)
-            self.clear()
-
 
 _known: dict[str, WordIds] = {}
 
 
-#: What Python's split() takes for white space and the tokenizer does not.
-_ODD = tuple("\x1c\x1d\x1e\x1f")
-
-
 def ids(texts: list[str | None], path: str, ranks: tuple | None = None) -> list[bytes]:
     """The ids of each text as little-endian 32-bit numbers, without special tokens added."""
     known = _known.get(path) or _known.setdefault(path, WordIds(path, ranks))
-    known.trim()
-    get = known.__getitem__
-    return [known.encode(t) if any(c in t for c in _ODD) else b"".join(map(get, t.split())) for t in (t or "" for t in texts)]
+    return [known.encode(t or "") for t in texts]
 
 
 def forget() -> None:
-    """Drop all words: workers outlive tasks, and to learn the words of each task anew costs next to nothing."""
+    """Drop the tokenizers: workers outlive tasks, and a later stage needs their memory."""
     _known.clear()
 
 
@@ -237,9 +247,10 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFr
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) per piece of docs (doc_id, text).
 
     Each document is its text's ids and then the id end; a null or empty text has that id alone.
-    Rows that repeat a doc_id are documents of their own. Equal pieces may change places between
-    runs of other rows, never within one: ranks follow the pieces' own values. Other columns are not
-    read; no documents give no pieces.
+    A very long text is tokenised whole and cut into full windows. Rows that repeat a doc_id are
+    documents of their own, and so are equal rows. Pieces of equal length are ranked by their own
+    values, so which of them comes first does not change from run to run. Other columns are not read,
+    whatever their names; no documents give no pieces.
     """
     kind = dict(docs.dtypes)["doc_id"]
     piece = docs.select("doc_id", "text").mapInArrow(shared.tidy(_pieces(path, merge_ranks(path), size, end)), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
@@ -258,9 +269,9 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFr
             new = [pa.array(own[:, 2] + i // own[:, 3]), pa.array(own[:, 4] + i % own[:, 3] * length)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")), *new], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    most = max(count.values(), default=1)
-    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(-(-most // BUCKET)))
-    salted = piece.withColumn("salt", salt)
+    # A length's pieces are ranked in about as many buckets as each holds pieces, a sixteenth of that, so neither grows fast.
+    salts = docs.sparkSession.createDataFrame([(n, math.isqrt(many) // 4 + 1) for n, many in count.items()], "length bigint, salts int")
+    salted = piece.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), "salts"))
     before = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = before.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens"))

@@ -75,8 +75,7 @@ def check(docs, got):
         assert at <= packing.SIZE
 
 
-def test_documents(spark, monkeypatch):
-    monkeypatch.setattr(packing, "BUCKET", 7)
+def test_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     check(docs.collect(), packing.pack(docs, PATH).collect())
 
@@ -90,7 +89,16 @@ def test_words_are_encoded_as_the_library_does():
     got = packing.ids(TEXTS, PATH, ranks)
     assert got == [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in TEXTS]
     plain = packing.WordIds(PATH, None)
-    assert all(plain[w] == packing.WordIds(PATH, ranks)[w] for w in ("naïve,", "Hello.", "x", "ß.", "12."))
+    assert all(plain.encode(w) == packing.WordIds(PATH, ranks).encode(w) for w in ("naïve,", "Hello.", "x", "ß.", "12."))
+
+
+def test_random_characters_as_the_library_does(monkeypatch):
+    monkeypatch.setattr(packing, "WORDS", 5)
+    tokenizer, ranks, rng = Tokenizer.from_file(PATH), packing.merge_ranks(PATH), random.Random(3)
+    pool = [*"abstreldmÉßªµ×÷¿²½159.,!_|- '\n\t\x0b", "\xa0", "\x85", "\xad", "\x00", "\x01", "\x1c", "\x7f", "Ω", "日", "\u0301", "İ", "'s", "'LL"]
+    for size in (3, 12, 40):
+        texts = ["".join(rng.choices(pool, k=rng.randint(0, size))) for _ in range(3000)]
+        assert packing.ids(texts, PATH, ranks) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
 def test_edge_cases(spark):
