@@ -24,11 +24,15 @@ BANDS = REGISTERS // ROWS
 THRESHOLD = 0.8
 #: Pairs whose signatures agree in fewer registers are not verified: five standard errors below 0.8.
 LEAST_AGREED = int(REGISTERS * THRESHOLD - 5 * (REGISTERS * THRESHOLD * (1 - THRESHOLD)) ** 0.5)
-#: One run of a leader's followers holds, about, this many pairs at most of all that are verified at once.
-RUN = 20_000
-#: Registers of the sharper signature by which the rest of a bucket is compared, its least agreement
-#: (four standard errors below 0.8), and texts that are held in memory as other texts stream past.
-SHARP, LEAST_SHARP, BLOCK = 1024, 768, 512
+#: Followers that meet one copy of their leader's text, about.
+RUN = 512
+#: Registers of the sharper signature by which the rest of a bucket is compared, and its least agreement
+#: (four standard errors below 0.8).
+SHARP, LEAST_SHARP = 1024, 768
+#: Texts (and their characters) that are held in memory as a stretch of the bucket streams past, and texts of a stretch.
+BLOCK, HELD, STRETCH = 512, 16 << 20, 1024
+#: Bytes of weighted shingles that a worker remembers in comparing.
+REMEMBER = 32 << 20
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -112,7 +116,7 @@ def _sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             has = np.diff(at) > 0
             band = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(has, BANDS, 0))), pa.int32()), pa.array(bands(sig[has]).view(np.int64).ravel()))
             low = sig.astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), keys.slice(a, b - a), band, pa.array([low[i].tobytes() if has[i] else None for i in range(b - a)], pa.binary())], ["doc_id", "k", "bands", "low"])
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), keys.slice(a, b - a), band, pa.array([low[i].tobytes() if has[i] else None for i in range(b - a)], pa.binary()), pa.array([len(t) for t in texts[a:b]], pa.int64())], ["doc_id", "k", "bands", "low", "chars"])
 
 
 def _agreed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,62 +148,90 @@ def _sharpen(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = part.column("text").to_pylist()
         for a, b in shingles.batches(texts):
             sig = signatures(*weighted(texts[a:b]), SHARP).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([part.column("k").slice(a, b - a), pa.array([x.tobytes() for x in sig], pa.binary())], ["k", "sharp"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c).slice(a, b - a) for c in ("k", "text")), pa.array([x.tobytes() for x in sig], pa.binary())], ["k", "text", "sharp"])
+
+
+class _Shingles:
+    """Weighted shingles of texts by key, the latest REMEMBER bytes of them."""
+
+    def __init__(self):
+        self.known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        self.bytes = 0
+
+    def get(self, k: bytes, text: str) -> tuple[np.ndarray, np.ndarray]:
+        got = self.known.pop(k, None)
+        if got is None:
+            got = weighted([text])[:2]
+            self.bytes += 16 * len(got[0])
+            while self.known and self.bytes > REMEMBER:
+                self.bytes -= 16 * len(self.known.pop(next(iter(self.known)))[0])
+        self.known[k] = got
+        return got
 
 
 def _compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (bucket, block), those of the block (away) first; all of the bucket stream past.
+    """Rows come sorted by (bucket, block, stretch), those of the block (away) first; then the stretch streams past.
 
-    Emits the pairs of different components that agree enough, each in the first band that they share.
+    Pairs that agree enough, in the first band that they share, are verified here, unless links of
+    this block and stretch join them already. So what is emitted is a forest: fewer links than texts.
     """
-    key, held = None, None
+    key, held, root, known = None, None, {}, _Shingles()
+
+    def find(x: bytes) -> bytes:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
 
-    def unpack(part: pa.RecordBatch, rows: np.ndarray) -> tuple:
-        own = part.take(pa.array(rows))
+    def unpack(part: pa.RecordBatch, at: int, to: int) -> tuple:
+        own = part.slice(at, to - at)
         bands_ = np.array(own.column("bands").to_pylist(), np.int64)
         sharp = np.frombuffer(b"".join(own.column("sharp").to_pylist()), np.uint8).reshape(-1, SHARP)
-        return own.column("k").to_pylist(), own.column("root").to_pylist(), np.array(own.column("is_main").to_pylist(), bool), bands_, sharp
+        return own.column("k").to_pylist(), own.column("root").to_pylist(), np.array(own.column("is_main").to_pylist(), bool), bands_, sharp, own.column("text").to_pylist()
 
     for part in parts:
-        bucket, block = part.column("bucket").to_numpy(), part.column("block").to_numpy()
+        tile = np.stack([part.column(c).to_numpy() for c in ("bucket", "block", "stretch")])
         away, out = np.array(part.column("away").to_pylist(), bool), []
-        turn = np.flatnonzero((bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1]) | (away[1:] != away[:-1])) + 1
-        for at, to in zip(np.append(0, turn), np.append(turn, len(bucket)), strict=True):
+        turn = np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(0) | (away[1:] != away[:-1])) + 1
+        for at, to in zip(np.append(0, turn), np.append(turn, len(away)), strict=True):
             if at == to:
                 continue
-            rows = unpack(part, np.arange(at, to))
-            if key != (bucket[at], block[at]):
-                key, held = (bucket[at], block[at]), None
+            rows = unpack(part, at, to)
+            if key != tuple(tile[:, at]):
+                key, held, root = tuple(tile[:, at]), None, {}
             if away[at]:
                 held = rows if held is None else tuple(x + y if isinstance(x, list) else np.concatenate([x, y]) for x, y in zip(held, rows, strict=True))
                 continue
             if held is None:
                 continue
             for i in range(len(held[0])):
-                likely = np.flatnonzero((held[4][i] == rows[4]).sum(1) >= LEAST_SHARP)
-                for j in likely:
+                for j in np.flatnonzero((held[4][i] == rows[4]).sum(1) >= LEAST_SHARP):
                     same = np.flatnonzero(held[3][i] == rows[3][j])
-                    first = held[3][i][same[0]] == bucket[at] if len(same) else False
-                    if first and held[1][i] != rows[1][j] and (rows[2][j] or held[0][i] < rows[0][j]):
+                    first = held[3][i][same[0]] == key[0] if len(same) else False
+                    if not first or not (rows[2][j] or held[0][i] < rows[0][j]) or (x := find(held[1][i])) == (y := find(rows[1][j])):
+                        continue
+                    if prob_jaccard(*known.get(held[0][i], held[5][i]), *known.get(rows[0][j], rows[5][j])) >= THRESHOLD - 1e-12:
+                        root[max(x, y)] = min(x, y)
                         out.append((held[0][i], rows[0][j]))
         yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.binary()) for j in (0, 1)], ["a", "b"])
 
 
 def _held(ks: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
-    """(k, text) of some keys: each text once, however many rows have it."""
+    """(k, text) of the keys of a table: each text once, however many rows have it. Only texts that may be wanted move."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name")
+    _, wanted = shared.apart(texts.select("k", name, "text"), ks, "k")
     first = signed.select("k", name).join(ks, "k", "left_semi")
-    return texts.select("k", name, "text").join(first, ["k", "name"]).dropDuplicates(["k", "name"]).select("k", "text")
+    return wanted.join(first, ["k", "name"]).dropDuplicates(["k", "name"]).select("k", "text")
 
 
 def _verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of distinct texts that reach THRESHOLD; pairs is a table."""
     # A leader's followers are dealt over as many runs as keep any run short; each run has the leader's text.
-    runs = max(1, pairs.count() // RUN)
-    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(runs)).cast("int"))
+    hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).alias("runs")).where("runs > 1")
+    dealt = pairs.join(hot, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("runs", F.lit(1))).cast("int"))
     ask = dealt.select(F.col("b").alias("k"), "a", "salt", "b").unionAll(dealt.select(F.col("a").alias("k"), "a", "salt", F.lit(None).cast("binary").alias("b")).distinct())
+    ks = shared.cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "near-wanted")
     # Each text is sent once to its key, where one row per wanted pair or leader run takes it on.
-    rows = ask.join(_held(ask.select("k").distinct(), signed, texts), "k").select("a", "salt", "b", "text")
+    rows = ask.join(_held(ks, signed, texts), "k").select("a", "salt", "b", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").isNotNull())
     return rows.mapInArrow(shared.tidy(_verify), "a binary, b binary")
 
@@ -211,22 +243,25 @@ def _likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 
 
 def _rest(member: DataFrame, root: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs of different components that share a bucket and agree in LEAST_SHARP registers of the sharper signature."""
-    rooted = member.select("k", "bucket").join(root.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    """Links that join the components which share a bucket, by the sharper signature and exact comparison."""
+    rooted = member.select("k", "bucket", "chars").join(root.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     # A bucket's largest component needs no pairs of its own; every other text meets all but its own component.
-    by = rooted.groupBy("bucket", "root").agg(F.count("*").alias("m"))
-    main = by.groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("all")).where("parts > 1")
-    main = main.select("bucket", F.col("main.root").alias("main"), F.ceil((F.col("all") - F.col("main.m")) / BLOCK).alias("blocks"))
-    mixed = shared.cut(rooted.join(main, "bucket").withColumn("is_main", F.col("root") == F.col("main")).drop("main"), "near-mixed")
-    sharp = _held(mixed.select("k").distinct(), signed, texts).mapInArrow(shared.tidy(_sharpen), "k binary, sharp binary")
+    by = rooted.groupBy("bucket", "root").agg(F.count("*").alias("m"), F.sum("chars").alias("chars"))
+    main = by.groupBy("bucket").agg(F.max(F.struct("m", "root", "chars")).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("all"), F.sum("chars").alias("chars")).where("parts > 1")
+    blocks = F.greatest(F.ceil((F.col("all") - F.col("main.m")) / BLOCK), F.ceil((F.col("chars") - F.col("main.chars")) / HELD))
+    main = main.select("bucket", F.col("main.root").alias("main"), blocks.alias("blocks"), F.ceil(F.col("all") / STRETCH).alias("stretches"))
+    mixed = shared.cut(rooted.join(main, "bucket").withColumn("is_main", F.col("root") == F.col("main")).drop("main", "chars"), "near-mixed")
+    ks = shared.cut(mixed.select("k").distinct(), "near-wanted")
+    sharp = _held(ks, signed, texts).mapInArrow(shared.tidy(_sharpen), "k binary, text string, sharp binary")
     full = mixed.join(sharp.join(signed.select("k", "bands"), "k"), "k")
-    # The texts of a block come first, then all of the bucket, once a block.
-    column = ["bucket", "block", "away", "k", "root", "is_main", "bands", "sharp"]
-    block = F.when(F.col("is_main"), F.lit(None)).otherwise(F.pmod(F.xxhash64("k"), "blocks"))
-    every = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda i: F.struct(i.alias("block"), F.lit(False).alias("away")))
-    here = F.when(F.col("is_main"), every).otherwise(F.concat(every, F.array(F.struct(block.alias("block"), F.lit(True).alias("away")))))
-    rows = full.select("*", F.explode(here).alias("at")).select("*", "at.*").select(*column)
-    rows = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", F.desc("away"))
+    # A tile is a block against a stretch of the bucket: the block's texts come first.
+    column = ["bucket", "block", "stretch", "away", "k", "root", "is_main", "bands", "sharp", "text"]
+    own = lambda n: F.pmod(F.xxhash64("k"), n)
+    every = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+    past = F.transform(every("blocks"), lambda i: F.struct(i.alias("block"), own("stretches").alias("stretch"), F.lit(False).alias("away")))
+    here = F.transform(every("stretches"), lambda i: F.struct(own("blocks").alias("block"), i.alias("stretch"), F.lit(True).alias("away")))
+    rows = full.select("*", F.explode(F.when(F.col("is_main"), past).otherwise(F.concat(past, here))).alias("at")).select("*", "at.*").select(*column)
+    rows = rows.repartition("bucket", "block", "stretch").sortWithinPartitions("bucket", "block", "stretch", F.desc("away"))
     return rows.mapInArrow(shared.tidy(_compare), "a binary, b binary")
 
 
@@ -243,27 +278,27 @@ def _classes(docs: DataFrame) -> DataFrame:
     Copies of a text are one node. In every band bucket all texts are compared with one leader, that
     whose buckets are largest in sum, which is near the middle of a group of near copies. Then every
     text outside a bucket's largest component is compared with all texts of the bucket, by a sharper
-    signature and in blocks that stream, and the pairs that agree are verified too; so no candidate
-    pair between different classes is left out however large a bucket is.
+    signature and in blocks past which the bucket streams; pairs that agree are verified on the spot,
+    and only links that join components are emitted. So no candidate pair between different classes
+    is left out however large a bucket is, and rows never grow with the square of a group.
     """
     base = docs.select("doc_id", "text").where("text is not null")
     keyed = base.select("doc_id", F.unhex(F.md5(F.col("text"))).alias("k"), "text")
-    signed = keyed.mapInArrow(shared.tidy(_sign), f"doc_id {dict(base.dtypes)['doc_id']}, k binary, bands array<bigint>, low binary")
-    signed = shared.cut(signed.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("low").alias("low")), "near-signed")
+    signed = keyed.mapInArrow(shared.tidy(_sign), f"doc_id {dict(base.dtypes)['doc_id']}, k binary, bands array<bigint>, low binary, chars bigint")
+    signed = shared.cut(signed.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("low").alias("low"), F.first("chars").alias("chars")), "near-signed")
 
-    spread = signed.select("k", F.explode("bands").alias("bucket"))
+    spread = signed.select("k", "chars", F.explode("bands").alias("bucket"))
     size = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     # Back to one row a text, of BANDS buckets at most, for the sum of their sizes.
-    own = spread.join(size, "bucket").groupBy("k").agg(F.sum("n").alias("near"), F.collect_list("bucket").alias("buckets"))
-    member = shared.cut(own.select("k", "near", F.explode("buckets").alias("bucket")), "near-member")
+    own = spread.join(size, "bucket").groupBy("k").agg(F.sum("n").alias("near"), F.first("chars").alias("chars"), F.collect_list("bucket").alias("buckets"))
+    member = shared.cut(own.select("k", "near", "chars", F.explode("buckets").alias("bucket")), "near-member")
     head = member.groupBy("bucket").agg(F.max(F.struct("near", "k")).alias("head")).select("bucket", F.col("head.k").alias("a"))
     pairs = member.join(head, "bucket").where("k != a").select("a", F.col("k").alias("b")).distinct()
     links = shared.cut(_verified(_likely(pairs, signed), signed, keyed), "near-links")
     root = shared.components(links)
     more = shared.cut(_rest(member, root, signed, keyed), "near-more")
     if not more.isEmpty():
-        links = links.unionAll(shared.cut(_verified(more, signed, keyed), "near-links"))
-        root = shared.components(links)
+        root = shared.components(links.unionAll(more))
 
     named = signed.select("k", "doc_id").join(root.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
@@ -281,11 +316,17 @@ def classes(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents that classes() keeps, one of each class, with all their columns.
 
-    Rows that repeat a kept document in doc_id and text are one document: one of them stays.
+    Rows that repeat a kept document in doc_id and text are one document: one of them stays. Nulls,
+    empty and very long texts, ties and empty tables are as in _classes(); columns of any name stay as
+    they are. Only rows that may go are moved.
     """
-    kept = _classes(docs).where("kept").select(F.col("doc_id").alias("of"), F.col("k").alias("of_k")).distinct()
+    by = _classes(docs).groupBy("doc_id", "k").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
+    told = shared.cut(by.where("not kept or n > 1").select(F.col("doc_id").alias("id"), F.col("k").alias("id_k"), "kept"), "near-gone")
     # The document is one value here, so that none of its names meets those of the join.
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     rows = rows.select("row", F.col("row.doc_id").alias("id"), F.unhex(F.md5(F.col("row.text"))).alias("id_k"))
-    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("of")) & F.col("id_k").eqNullSafe(F.col("of_k")), "left_semi")
-    return rows.dropDuplicates(["id", "id_k"]).select("row.*")
+    stay, maybe = shared.apart(rows, told, "id", "id_k")
+    told = told.withColumnsRenamed({"id": "of", "id_k": "of_k"})
+    maybe = maybe.join(told, F.col("id").eqNullSafe(F.col("of")) & F.col("id_k").eqNullSafe(F.col("of_k")), "left")
+    alone, again = maybe.where("kept is null"), maybe.where("kept").dropDuplicates(["id", "id_k"])
+    return stay.select("row.*").unionAll(alone.select("row.*")).unionAll(again.select("row.*"))

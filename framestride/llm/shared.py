@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, the folder that all executors share.
 
-    Only where the session has no such setting (local tests) is a folder of our own used.
+    Only where the session has no such setting and one machine does all the work (local tests) is a
+    folder of our own used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "framestride-scratch")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -94,6 +97,27 @@ def _union_find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], ["node", "root"])
 
 
+#: Rows of the bitmap of apart() at most, of 64 bits each: below 16 MB when broadcast.
+SLOTS = 1 << 18
+
+
+def apart(rows: DataFrame, keys: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:
+    """(the rows whose values of names are surely in no row of keys, the others), without moving a row.
+
+    A bitmap of the keys' hashes with a fixed bound on its size is broadcast. The others hold all
+    rows that are in keys and some that are not, so a join with keys must follow; with more keys than
+    the bitmap can tell apart nearly all rows are among them, and the join does all the work. keys is
+    a table, read twice.
+    """
+    slots = min(SLOTS, 1 << max(10, (keys.count() // 4).bit_length()))
+    h = F.xxhash64(*names)
+    slot, bit = F.pmod(F.shiftright(h, 6), F.lit(slots)).alias("_slot"), h.bitwiseAND(F.lit(63)).cast("int")
+    bits = keys.select(slot, F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+    told = rows.select("*", slot, bit.alias("_place")).join(F.broadcast(bits), "_slot", "left")
+    maybe = F.coalesce(F.getbit("_bits", F.col("_place")) == 1, F.lit(False))
+    return tuple(told.where(x).select(*rows.columns) for x in (~maybe, maybe))
+
+
 def sql_path(sf_dir: str, table: str) -> str:
     return f"{sf_dir}/{table}.parquet"
 

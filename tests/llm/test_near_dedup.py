@@ -5,7 +5,7 @@ import pytest
 from conftest import SF
 from llm_helpers import brute_classes
 
-from framestride.llm import near_dedup, shingles
+from framestride.llm import near_dedup, shared, shingles
 
 
 def brute(a, b):
@@ -61,6 +61,29 @@ def test_a_large_group_of_near_copies(spark):
     assert sorted((r["doc_id"], r["class_id"]) for r in got) == brute_classes(rows)
 
 
+def test_rows_grow_with_the_texts_of_a_group_without_links(spark, monkeypatch):
+    """Texts that are all just below the threshold to one another: no table holds their pairs."""
+    real, made = shared.cut, {}
+
+    def counted(df, name):
+        out = real(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(shared, "cut", counted)
+    core, rows = [f"w{i}" for i in range(400)], {}
+    for n in (60, 120):
+        made.clear()
+        texts = [" ".join([*core, *(f"own{i}x{j}" for j in range(60))]) for i in range(n)]
+        got = near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+        assert all(r["kept"] for r in got)
+        rows[n] = dict(made)
+    h, w, at = near_dedup.weighted(texts[:2])
+    assert 0.75 < near_dedup.prob_jaccard(h[: at[1]], w[: at[1]], h[at[1] :], w[at[1] :]) < 0.79
+    assert rows[120]["near-mixed"] > 0 and rows[120]["near-more"] == 0
+    assert all(rows[120][name] <= 2.5 * rows[60][name] + 50 for name in rows[60])
+
+
 def test_edge_cases(spark):
     long = "many words " * 50_000
     rows = [(5, None), (6, None), (3, ""), (4, ""), (1, "..."), (2, "!!!"), (9, "Hello, World"), (8, "hello world!"), (8, "hello world!"), (7, long), (None, long), (11, "a b c d e f"), (11, "other text of its own here")]
