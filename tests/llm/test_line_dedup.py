@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from conftest import SF
@@ -6,49 +7,81 @@ from conftest import SF
 from framestride.llm import line_dedup
 
 
+LEAST, LINE = line_dedup.LEAST, line_dedup.LINE
+
+
 def runs(lines):
-    """(from, to, lines) of the shortest run of 50 words or more from each line that has a word."""
+    """The shortest run of 50 words or more from each line that has a word: (from, to, lines)."""
     words = [len(x.split()) for x in lines]
     for i in range(len(lines)):
         n = 0
         for j in range(i, len(lines)):
             n += words[j]
-            if words[i] and n >= line_dedup.LEAST:
+            if words[i] and n >= LEAST:
                 yield i, j + 1, tuple(lines[i : j + 1])
                 break
 
 
-def check(rows, got):
-    """Every run that an earlier document has is deleted, and only lines of blocks that an earlier document has."""
-    seen, blocks = {}, {}
+def brute(rows):
+    """Per document (lines that must go, lines that may go), by sets of lines and lists of runs, without any alignment.
+
+    Whole lines of LINE words or more go by membership alone; shorter ones may go with their neighbours.
+    """
+    owner, out, texts = {}, {}, {}
     for d, text in rows:
         lines = text.split("\n")
-        gone = set(got[d]["deleted_lines"])
+        texts[d], must, may = lines, set(), set()
+        n = lambda x: len(x.split())
+        share = {}
+        for x in set(lines):
+            if n(x) >= LINE and x in owner:
+                share[owner[x]] = share.get(owner[x], 0) + min(LEAST, n(x) * lines.count(x))
+        for run in {r for _, _, r in runs(lines)}:
+            if run in owner:
+                share[owner[run]] = share.get(owner[run], 0) + LEAST
+        for early in (e for e, words in share.items() if words >= LEAST):
+            have, ran = set(texts[early]), {r for _, _, r in runs(texts[early])}
+            sure = {i for i, x in enumerate(lines) if n(x) >= LINE and x in have} | {k for i, j, r in runs(lines) if r in ran for k in range(i, j)}
+            any_ = {i for i, x in enumerate(lines) if x in have}
+            if sum(n(lines[i]) for i in sure) >= LEAST:
+                must |= sure
+            if sum(n(lines[i]) for i in any_) >= LEAST:
+                may |= any_
+        out[d] = must, may
+        for key in [*(x for x in lines if n(x) >= LINE), *(r for _, _, r in runs(lines))]:
+            owner.setdefault(key, d)
+    return out
+
+
+def check(rows, got):
+    want = brute(rows)
+    for d, text in rows:
+        lines, gone = text.split("\n"), set(got[d]["deleted_lines"])
         assert got[d]["n_lines"] == len(lines)
         assert got[d]["text"] == "\n".join(x for i, x in enumerate(lines) if i not in gone)
-        for i, j, run in runs(lines):
-            if run in seen:
-                assert gone >= set(range(i, j)), (d, i, j)
-        at = 0
-        while at < len(lines):
-            to = at
-            while to < len(lines) and to in gone:
-                to += 1
-            if to > at:
-                assert any(run in seen for i, j, run in runs(lines) if at <= i and j <= to), (d, at, to)
-                for x in lines[at:to]:
-                    assert x in blocks
-            at = max(to, at + 1)
-        for _, _, run in runs(lines):
-            seen.setdefault(run, d)
-        for x in lines:
-            blocks.setdefault(x, d)
+        assert want[d][0] <= gone <= want[d][1], d
+    return sum(len(must) for must, _ in want.values())
 
 
 def test_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = sorted(tuple(r) for r in docs.collect())
-    check(rows, {r["doc_id"]: r for r in line_dedup.dedup(docs).collect()})
+    assert check(rows, {r["doc_id"]: r for r in line_dedup.dedup(docs).collect()}) > 50
+    own = spark.read.parquet(f"{SF}/documents.parquet")
+    left = {r["doc_id"]: r for r in line_dedup.cleaned(own.withColumn("n_lines", own["n_chars"])).collect()}
+    assert left and all(r["n_chars"] in (len(r["text"]), r["n_lines"]) for r in left.values())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_scattered_lines(spark, seed):
+    """Whole lines between edited ones: no run of 50 words, but 50 words in all; and pairs that share fewer."""
+    rng = random.Random(seed)
+    line = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(8, 14)))
+    pool, rows = [line() for _ in range(12)], []
+    for d in range(60):
+        body = [x for x in rng.sample(pool, rng.randint(0, 9)) for x in (x, line())]
+        rows.append((d, "\n".join(body)))
+    assert check(rows, {r["doc_id"]: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}) > 20
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -79,6 +112,21 @@ def test_patience_diff():
     assert swapped == [0, 1]
 
 
+def test_repeated_lines_take_time_near_their_number():
+    rng = random.Random(2)
+    a, b = ([rng.randint(0, 3) for _ in range(50_000)] for _ in range(2))
+    began = time.process_time()
+    blocks = line_dedup.align(a, b)
+    assert time.process_time() - began < 5 and sum(n for _, _, n in blocks) > 10_000
+    assert all(a[i : i + n] == b[j : j + n] for i, j, n in blocks)
+
+
+def test_string_ids(spark):
+    text = "\n".join(f"line number {i} of a passage that is shared by them" for i in range(8))
+    got = line_dedup.dedup(spark.createDataFrame([("b", text), ("a", text), ("aa", text), (None, text)], "doc_id string, text string")).collect()
+    assert {r["doc_id"]: len(r["deleted_lines"]) for r in got} == {"a": 0, "aa": 8, "b": 8, None: 8}
+
+
 def test_edge_cases(spark):
     big, small = "word " * 60 + "end", "too few words to matter"
     rows = [(1, big + "\n" + small), (2, small + "\n" + big), (3, None), (4, ""), (5, "\n\n"), (None, big), (6, big), (6, "x\n" + big), (7, big + "\ntail"), (7, big + "\ntail"), (8, ("one line " * 40 + "\n") * 3000)]
