@@ -17,6 +17,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -27,6 +28,8 @@ from . import shared
 
 #: An archive is closed after this many bytes.
 ROLL = 64 << 20
+#: Tasks that read archives, at most; more archives take turns.
+ARCHIVES = 100_000
 CHUNK = 1 << 18
 VERSION = b"WARC/1."
 LINES = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
@@ -59,7 +62,8 @@ def _member(data: bytes) -> bytes:
 
 
 def record_id(page_id, payload_digest: str) -> str:
-    return f"urn:page:{'' if page_id is None else page_id}:{payload_digest}"
+    """A URN of the page's id, quoted so that it holds no colon, or urn:page::digest for a null one (an empty one is %)."""
+    return f"urn:page:{'' if page_id is None else quote(str(page_id), safe='') or '%'}:{payload_digest}"
 
 
 def _writer(folder: str, date: str):
@@ -73,10 +77,9 @@ def _writer(folder: str, date: str):
         try:
             for part in parts:
                 for row in part.to_pylist():
-                    payload = (row["html"] or "").encode("utf-8", "replace")
+                    payload = None if row["html"] is None else row["html"].encode("utf-8", "replace")
                     own, first = row["payload_digest"], row["first_id"]
-                    again = not row["is_response"]
-                    data = record("revisit" if again else "response", record_id(row["page_id"], own), row["url"] or "urn:none", None if again else payload, len(payload), own, record_id(first, own) if again else None, date)
+                    data = record("revisit" if payload is None else "response", record_id(row["page_id"], own), row["url"] or "urn:none", payload, row["size"], own, record_id(first, own) if payload is None else None, date)
                     if out is None:
                         fs.create_dir(base, recursive=True)
                         name, size, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
@@ -114,15 +117,24 @@ def write(pages: DataFrame, folder: str, least: int = 0, date: str = "1970-01-01
     Of the rows with equal payloads of at least `least` bytes the one with the smallest page_id is the
     response, and the others are revisits of it; rows that share that page_id too are one page written
     several times, all as responses. A null html is an empty payload, a null url is urn:none. A row
-    with a null page_id revisits a row that has one; where none has one, all are responses. Other
-    columns are not read; no pages give no archive.
+    with a null page_id revisits a row that has one; where none has one, all are responses. A very
+    long html is one record like any other. Other columns are not read, whatever their names; no
+    pages give no archive.
     """
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    keyed = base.withColumn("sha", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
-    first = keyed.where(F.col("size") >= least).groupBy("sha", "size").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = keyed.join(first, ["sha", "size"], "left")
-    own = F.col("first_id").isNull() | F.col("page_id").eqNullSafe(F.col("first_id"))
-    rows = rows.select("page_id", "url", "html", "first_id", own.alias("is_response"), base32(F.col("sha")).alias("payload_digest"))
+    sha, size = F.sha1(F.col("html").cast("binary")).alias("sha"), F.octet_length("html").cast("bigint").alias("size")
+    keyed = base.select("page_id", "url", "html", sha, size)
+    small = keyed.select("page_id", "url", "sha", "size")
+    first = small.where(F.col("size") >= least).groupBy("sha", "size").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id"), F.count("*").alias("n"), F.count("page_id").alias("named"))
+    first = first.where("first_id != last_id or named > 0 and named < n").select("sha", "size", "first_id")
+    # Revisits need no html, so what is dealt by payload is small; the responses never move for it.
+    again = shared.cut(small.join(first, ["sha", "size"]).where(~F.col("page_id").eqNullSafe(F.col("first_id"))), "warc-revisits")
+    own, maybe = shared.apart(keyed, again, "page_id", "sha", "size")
+    told = again.select(*(F.col(c).alias(f"of_{c}") for c in ("page_id", "sha", "size"))).distinct()
+    maybe = maybe.join(told, F.col("page_id").eqNullSafe(F.col("of_page_id")) & (F.col("sha") == F.col("of_sha")) & (F.col("size") == F.col("of_size")), "left_anti")
+    none = F.lit(None).cast(dict(pages.dtypes)["page_id"])
+    rows = own.unionAll(maybe).select("page_id", "url", "html", "size", none.alias("first_id"), base32(F.col("sha")).alias("payload_digest"))
+    rows = rows.unionAll(again.select("page_id", "url", F.lit(None).cast("string").alias("html"), "size", "first_id", base32(F.col("sha")).alias("payload_digest")))
     return shared.cut(rows.mapInArrow(_writer(folder, date), "path string, bytes bigint, records bigint"), "warc-manifest")
 
 
@@ -288,6 +300,9 @@ def salvage(spark: SparkSession, paths: DataFrame, payload: bool = True) -> Data
 
     gap is null for a record; for a quarantined range of bytes [begin, end) it says which check
     failed first, and all else is null. payload=False leaves the payloads out (after checking them).
+    Each archive is read as a stream by one of as many tasks as there are archives (ARCHIVES of them
+    at most). A path that is there twice is read twice; a null one gives nothing, nor does an empty
+    archive or table. Other columns are not read.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +321,9 @@ def salvage(spark: SparkSession, paths: DataFrame, payload: bool = True) -> Data
                             rows, held = [], 0
                     yield _rows(rows)
 
-    return paths.select("path").repartition("path").mapInArrow(run, RECORD)
+    names = paths.select("path").where("path is not null")
+    # A number that is asked for is not coalesced, as that of a key would be for so few small rows.
+    return names.repartition(min(ARCHIVES, max(1, names.count()))).mapInArrow(run, RECORD)
 
 
 def _rows(rows: list[dict]) -> pa.RecordBatch:
@@ -319,5 +336,6 @@ def round_trip(pages: DataFrame) -> DataFrame:
     made = write(pages, shared.scratch(spark, "warc"))
     back = salvage(spark, made, payload=False).where("gap is null")
     kind = dict(pages.dtypes)["page_id"]
-    page = lambda c: F.nullif(F.split_part(F.col(c), F.lit(":"), F.lit(3)), F.lit("")).cast(kind)
+    told = lambda c: F.nullif(F.split_part(F.col(c), F.lit(":"), F.lit(3)), F.lit(""))
+    page = lambda c: F.when(told(c) == "%", "").otherwise(F.url_decode(told(c))).cast(kind)
     return back.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))

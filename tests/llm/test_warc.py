@@ -52,6 +52,16 @@ def test_edge_cases(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_string_ids_and_reading_tasks(spark):
+    rows = [("a:b", "x"), ("", "x"), (None, "x"), ("%", "own é"), ("<é\r\n>", "two"), ("+ %20", "two")]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id string, url string, html string").repartition(4)
+    got = warc.round_trip(pages).collect()
+    want = {("a:b", "revisit", ""), ("", "response", None), (None, "revisit", ""), ("%", "response", None), ("<é\r\n>", "revisit", "+ %20"), ("+ %20", "response", None)}
+    assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in got} == want
+    names = spark.createDataFrame([(f"file:///none/{i}",) for i in range(7)] + [(None,)], "path string")
+    assert warc.salvage(spark, names).rdd.getNumPartitions() == 7
+
+
 def test_archives_are_gzip_that_others_read(spark, monkeypatch):
     monkeypatch.setattr(warc, "ROLL", 2000)
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
