@@ -40,7 +40,9 @@ def planted(seed, n=240, width=16):
 @pytest.mark.parametrize("seed", range(3))
 def test_against_all_pairs(spark, monkeypatch, seed):
     """Many small cells and blocks: links across cells and within one point's copies."""
-    monkeypatch.setattr(embedding_dedup, "CELL", 10)
+    monkeypatch.setattr(embedding_dedup, "CELLS", 4)
+    monkeypatch.setattr(embedding_dedup, "CELL", 20)
+    monkeypatch.setattr(embedding_dedup, "RUN", 7)
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     rows = planted(seed)
     got = embedding_dedup.groups(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(3)).collect()
