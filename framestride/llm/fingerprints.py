@@ -10,22 +10,21 @@ probability 2 ** -BITS, for which likeness() corrects.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shingles
+from . import shared, shingles
 
 BINS, BITS = 512, 4
-#: Documents that are read in one run of neighbours, about.
-RUN = 4096
-#: Runs at most; their first rows' keys are gathered on the driver.
-RUNS = 4096
+#: Characters of the documents of a run, about; a run is read as a stream by one task. Runs' edges are picked from
+#: EDGES sampled ids a run, which the driver holds (3 million of them for 100 TB).
+RUN, EDGES = 32 << 20, 20
 _U = np.uint64
 
 
@@ -102,34 +101,70 @@ def _digest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = kept[-1:]
 
 
+def _rank(docs: DataFrame):
+    """A number that never falls as doc_id rises: numbers themselves, else the 8 bytes of the string after what all ids begin with."""
+    kind = dict(docs.dtypes)["doc_id"]
+    low = F.lit(-(2**63)).cast("bigint")
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.coalesce(F.col("doc_id").cast("bigint"), low)
+    if kind != "string":
+        raise TypeError(f"doc_id is {kind}; documents are put in order by integers or strings")
+    ends = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    same = len(os.path.commonprefix([(x or "").encode() for x in ends]))
+    eight = F.rpad(F.hex(F.substring(F.encode("doc_id", "UTF-8"), same + 1, 8)), 16, "0")
+    # The upper and the lower half, so that the sign bit turns without an overflow.
+    half = lambda at: F.conv(F.substring(eight, at, 8), 16, 10).cast("bigint")
+    return F.coalesce(F.shiftleft(half(1) - F.lit(2**31), 32) + half(9), low)
+
+
+def _edges(ranked: DataFrame, runs: int, sharp: bool) -> list[tuple[int, int]]:
+    """(r, h) from which each run but the first goes on, in rising order, from a sample by hash; r alone counts unless sharp."""
+    if runs == 1:
+        return []
+    rows = shared.pick(ranked.select("r", "h"), runs * EDGES, "h", "r").collect()
+    rows = sorted((x["r"], x["h"] if sharp else -(2**63)) for x in rows)
+    return sorted({rows[len(rows) * i // runs] for i in range(1, runs)}) if rows else []
+
+
+def _numbered(edges: list[tuple[int, int]]):
+    """The number of the run that holds (r, h)."""
+    r, h = (np.array([e[i] for e in edges], np.int64) for i in (0, 1))
+
+    def run(rank: pa.Array, text: pa.Array) -> pa.Array:
+        own, sharp = rank.to_numpy(), text.to_numpy()
+        low, high = np.searchsorted(r, own, "left"), np.searchsorted(r, own, "right")
+        # Where a run begins within the rows of one id, these are told apart by their texts' hashes.
+        for i in np.flatnonzero(low < high):
+            low[i] += np.searchsorted(h[low[i] : high[i]], sharp[i], "right")
+        return pa.array(low.astype(np.int32))
+
+    return F.arrow_udf(run, "int")
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per row of docs.
 
-    The next document is that of the next smaller doc_id; the first one follows the last. A null text
-    is empty; a null doc_id is smaller than any. Rows of equal doc_id stand in the order of their
-    texts' hashes; of rows that are equal altogether each follows the other. A single document is its
-    own next one. Other columns are not read; no documents give no rows.
+    The next document is that of the next smaller doc_id (an integer, or a string in the order of its
+    bytes); the first one follows the last. A null text is empty; a null doc_id is smaller than any.
+    Rows of equal doc_id stand in the order of their texts' hashes; of rows that are equal altogether
+    each follows the other. A single document is its own next one. A very long text is one row like any
+    other. Other columns are not read, whatever their names; no documents give no rows.
     """
-    spark = docs.sparkSession
+    spark, schema = docs.sparkSession, f"doc_id {dict(docs.dtypes)['doc_id']}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rank = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)).cast("bigint"))
-    count, low, high = base.agg(F.count("*"), F.min(rank), F.max(rank)).first()
+    count, size = base.agg(F.count("*"), F.sum(F.length("text") + 1)).first()
     if not count:
-        return spark.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    # Runs are ranges of doc_id of about equal size, from the ids alone; a run is read as a stream.
-    n = min(max(1, count // RUN), RUNS)
-    edges = sorted(set(base.select(rank.cast("double").alias("r")).approxQuantile("r", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 and low < high else []
-    ranked = base.withColumn("r", rank).withColumn("d", rank.cast("double"))
-    if edges:
-        ranked = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol="d", outputCol="run").transform(ranked)
-    run = F.col("run") if edges else F.lit(0)
-    dealt = ranked.select("r", run.cast("int").alias("run"), "doc_id", "text", F.xxhash64("text").alias("h"), F.lit(False).alias("guest"))
-    # The first row of each run (one per run) is also the guest at the end of the run before it.
-    heads = dealt.groupBy("run").agg(F.max(F.struct("r", "h")).alias("top")).select("run", "top.r", "top.h").collect()
-    order = sorted(x["run"] for x in heads)
-    above = {x: order[i + 1] if i + 1 < len(order) else order[0] for i, x in enumerate(order)}
-    tops = spark.createDataFrame([(above[x["run"]], x["r"], x["h"]) for x in heads], "to int, r bigint, h bigint")
-    guest = dealt.join(F.broadcast(tops), ["r", "h"]).dropDuplicates(["to"]).select("r", F.col("to").alias("run"), "doc_id", "text", "h", F.lit(True).alias("guest"))
-    rows = dealt.unionAll(guest).repartition("run").sortWithinPartitions("run", "guest", F.desc("r"), F.desc("h"))
-    return rows.select("run", "doc_id", "text", "guest").mapInArrow(_digest, f"doc_id {dict(docs.dtypes)['doc_id']}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
+        return spark.createDataFrame([], schema)
+    ranked = base.select(_rank(docs).alias("r"), F.xxhash64("text").alias("h"), "doc_id", "text")
+    edges = _edges(ranked, max(1, min(count, -(-size // RUN))), dict(docs.dtypes)["doc_id"] != "string")
+    run = _numbered(edges)(F.col("r"), F.col("h")) if edges else F.lit(0)
+    dealt = ranked.select("r", "h", "doc_id", "text", run.alias("run"), F.lit(False).alias("guest"))
+    # The first row of each run is also the guest at the end of the run above it.
+    kind = "r bigint, h bigint, own int, to int"
+    tops = dealt.groupBy("run").agg(F.max(F.struct("doc_id", "h", "r")).alias("top")).select("run", "top.*").collect()
+    own = sorted(x["run"] for x in tops)
+    above = dict(zip(own, [*own[1:], own[0]], strict=True))
+    tops = spark.createDataFrame([(x["r"], x["h"], x["run"], above[x["run"]]) for x in tops], kind)
+    guest = ranked.join(F.broadcast(tops), ["r", "h"]).dropDuplicates(["to"]).select("r", "h", "doc_id", "text", F.col("to").alias("run"), F.lit(True).alias("guest"))
+    rows = dealt.unionAll(guest).repartitionById(len(edges) + 1, "run").sortWithinPartitions("run", "guest", F.desc("doc_id"), F.desc("h"))
+    return rows.select("run", "doc_id", "text", "guest").mapInArrow(shared.tidy(_digest), schema)

@@ -2,7 +2,9 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from framestride.llm import fingerprints
 
@@ -33,7 +35,7 @@ def test_documents(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), reverse=True)
     found = []
-    for run in (4096, 17):
+    for run in (1 << 20, 5000):
         monkeypatch.setattr(fingerprints, "RUN", run)
         got = {r["doc_id"]: r for r in fingerprints.neighbours(docs).collect()}
         off = check(rows, got)
@@ -51,6 +53,23 @@ def test_likeness_is_not_biased_by_chance():
     assert (fingerprints.likeness(prints, prints, ~has, ~has) == 1).all()
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_hot_ids_and_strings(spark, monkeypatch, kind):
+    """One id, and null, with a third of the rows each: runs part their rows by the texts' hashes."""
+    monkeypatch.setattr(fingerprints, "RUN", 400)
+    ids = [7] * 60 + [None] * 60 + list(range(100, 160))
+    ids = [None if i is None else i if kind == "bigint" else f"document-{i:012d}" for i in ids]
+    docs = spark.createDataFrame([(i, f"text of {n} " * 3) for n, i in enumerate(ids)], f"doc_id {kind}, text string")
+    rows = docs.withColumn("h", F.xxhash64("text")).collect()
+    low = -1 if kind == "bigint" else ""
+    rows.sort(key=lambda r: (low if r["doc_id"] is None else r["doc_id"], r["h"]), reverse=True)
+    want = set()
+    for a, b in zip(rows, rows[1:] + rows[:1], strict=True):
+        n = len(a["text"]) // 3
+        want.add((a["doc_id"], hashlib.sha256((a["text"][: len(a["text"]) - n] + b["text"][:n]).encode()).hexdigest()))
+    assert {(r["doc_id"], r["edited_sha256"]) for r in fingerprints.neighbours(docs).collect()} == want
+
+
 def test_edge_cases(spark):
     long = "so many words here " * 100_000
     rows = [(9, long), (8, long), (7, None), (6, ""), (5, "..."), (4, "one"), (3, "one"), (2, "é" * 10), (None, "no id")]
