@@ -165,25 +165,24 @@ def _posterior(model: Model, rows: DataFrame) -> DataFrame:
     return rows.withColumn("_text", F.when(known, F.array_position(F.slice("_score", 1, n), best).cast("int")))
 
 
-def identify(rows: DataFrame, model: Model, text: str = "text", declared=None, url=None, place=None, markup: bool = False) -> DataFrame:
-    """rows with columns lang_id, lang_posterior and lang_rejected, which replace any of these names.
+_IP = r"^[0-9.]*$|:"
 
-    declared, url and place (a host, if there is no url) are column expressions or None. lang_id is
-    'und' for a rejected row. A null or empty text is no evidence, and neither is a null, empty or
-    unknown declared language, suffix or host; a row without any evidence is rejected, as is one whose
-    text is long enough to judge and unlike every language. Ties go to the language that comes first
-    in the alphabet. Every row is decided on its own, so repeated rows and ids do not matter; an empty
-    table gives none.
+
+def decide(rows: DataFrame, model: Model, keys: list, text: str = "text", declared=None, url=None, place=None, markup: bool = False) -> DataFrame:
+    """(keys.., lang_id, lang_posterior, lang_rejected) per row of rows; keys are named columns.
+
+    declared, url and place (a host, if there is no url) are column expressions or None. Each text is
+    scored once, into a table that holds the keys and the evidence alone; texts never move. A numeric
+    address has no suffix and is a domain of its own. For all else see identify().
     """
     languages, n = model.languages, len(model.languages)
-    keep = [c for c in rows.columns if c not in ("lang_id", "lang_posterior", "lang_rejected")]
     where = host(url) if url is not None else (F.lower(place.cast("string")) if place is not None else F.lit(None).cast("string"))
     told = F.lower(F.substring(declared, 1, 2)) if declared is not None else F.lit(None).cast("string")
-    # The row is one value here, so that none of its names meets those below.
-    rows = rows.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row"), F.nullif(where, F.lit("")).alias("_host"), told.alias("_told"))
-    suffix = F.when(F.instr("_host", ".") > 0, F.substring_index("_host", ".", -1)) if url is not None else F.lit(None).cast("string")
-    rows = rows.withColumns({"_told": F.when(F.col("_told").isin(languages), F.col("_told")), "_suffix": suffix, "_domain": F.substring_index("_host", ".", -2)})
-    rows = _posterior(model, rows.withColumn("_score", _scores(model, markup)(F.col("_row")[text])))
+    rows = rows.select(F.struct(*keys).alias("_row"), F.nullif(where, F.lit("")).alias("_host"), told.alias("_told"), _scores(model, markup)(F.col(text)).alias("_score"))
+    numeric = F.col("_host").rlike(_IP)
+    suffix = F.when((F.instr("_host", ".") > 0) & ~numeric, F.substring_index("_host", ".", -1)) if url is not None else F.lit(None).cast("string")
+    rows = rows.withColumns({"_told": F.when(F.col("_told").isin(languages), F.col("_told")), "_suffix": suffix, "_domain": F.when(numeric, F.col("_host")).otherwise(F.substring_index("_host", ".", -2))})
+    rows = _posterior(model, shared.cut(rows, "lang-evidence"))
 
     # One aggregation over the corpus; what the driver gets is bounded by languages.
     counts = rows.where("_text is not null").groupBy("_host", "_domain", "_suffix", "_told", "_text").agg(F.count("*").alias("n"))
@@ -197,7 +196,9 @@ def identify(rows: DataFrame, model: Model, text: str = "text", declared=None, u
     hosts = by("_host").select(F.col("_host").alias("_h"), pack("_hc"))
     domains = by("_domain").select(F.col("_domain").alias("_d"), pack("_dc"))
     small = lambda t: F.broadcast(t) if t.limit(SMALL + 1).count() <= SMALL else t
-    rows = rows.join(small(hosts), F.col("_host") == F.col("_h"), "left").join(small(domains), F.col("_domain") == F.col("_d"), "left")
+    # Rows without a host are dealt out by a name that no host has.
+    spread = lambda c: F.coalesce(F.col(c), F.concat(F.lit(" "), F.pmod(F.xxhash64("_row"), F.lit(9973)).cast("string")))
+    rows = rows.join(small(hosts), spread("_host") == F.col("_h"), "left").join(small(domains), spread("_domain") == F.col("_d"), "left")
     if url is not None:
         # log P(suffix | language) as in _given(), for every suffix there is.
         tails = by("_suffix")
@@ -230,7 +231,30 @@ def identify(rows: DataFrame, model: Model, text: str = "text", declared=None, u
         evidence = F.col("_known") | F.col("_told").isNotNull()
     rejected = strange | ~evidence | (F.col("_sure") < SURE) | F.lit(languages == [UNKNOWN])
     name = F.element_at(F.array(*map(F.lit, languages)), F.array_position("_sum", F.col("_top")).cast("int"))
-    return rows.select(*(F.col("_row")[c].alias(c) for c in keep), F.when(rejected, F.lit(UNKNOWN)).otherwise(name).alias("lang_id"), F.when(rejected, F.lit(0.0)).otherwise(F.col("_sure")).alias("lang_posterior"), rejected.alias("lang_rejected"))
+    return rows.select("_row.*", F.when(rejected, F.lit(UNKNOWN)).otherwise(name).alias("lang_id"), F.when(rejected, F.lit(0.0)).otherwise(F.col("_sure")).alias("lang_posterior"), rejected.alias("lang_rejected"))
+
+
+def _key(*columns):
+    """128 bits that tell rows apart by some columns, nulls included."""
+    return F.unhex(F.md5(F.concat_ws(",", *(F.coalesce(F.md5(c.cast("string").cast("binary")), F.lit("null")) for c in columns))))
+
+
+def identify(rows: DataFrame, model: Model, text: str = "text", declared=None, url=None, place=None, markup: bool = False) -> DataFrame:
+    """rows with columns lang_id, lang_posterior and lang_rejected, which replace any of these names.
+
+    declared, url and place (a host, if there is no url) are column expressions or None. lang_id is
+    'und' for a rejected row. A null or empty text is no evidence, and neither is a null, empty or
+    unknown declared language, suffix or host; a row without any evidence is rejected, as is one whose
+    text is long enough to judge and unlike every language. Very long texts are scored in pieces, as a
+    whole. Ties go to the language that comes first in the alphabet. Every row is decided on its own,
+    so repeated rows and ids do not matter; an empty table gives none.
+    """
+    keep = [c for c in rows.columns if c not in ("lang_id", "lang_posterior", "lang_rejected")]
+    k = _key(*(c for c in (F.col(text), declared, url, place) if c is not None))
+    done = decide(rows, model, [k.alias("of")], text, declared, url, place, markup).groupBy("of").agg(*(F.first(c).alias(c) for c in ("lang_id", "lang_posterior", "lang_rejected")))
+    # The row is one value here, so that none of its names meets those of the join.
+    whole = rows.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), k.alias("k")).join(done, F.col("k") == F.col("of"))
+    return whole.select(*(F.col("row")[c].alias(c) for c in keep), "lang_id", "lang_posterior", "lang_rejected")
 
 
 def _given(counts: DataFrame, column: str, n: int) -> dict[str, list[float]]:
@@ -248,13 +272,31 @@ def declared_language(page):
 
 
 def pages(page_rows: DataFrame, labelled: DataFrame) -> DataFrame:
-    """identify() for page_rows (page_id, url, html), with a model of labelled (doc_id, text, lang)."""
+    """(page_id, lang_id, lang_posterior, lang_rejected) for page_rows (page_id, url, html), with a model of labelled (doc_id, text, lang).
+
+    Nulls, empty and very long pages, ties, repeated rows and empty tables are as in identify(). A
+    null or empty html is a page without text, and one without a lang attribute declares nothing.
+    Other columns are not read, whatever their names. Without labelled rows every page is rejected.
+    """
     model = train(sample(labelled))
-    rows = page_rows.select("page_id", "url", "html")
-    return identify(rows, model, "html", declared_language(F.col("html")), F.col("url"), markup=True).select("page_id", "lang_id", "lang_posterior", "lang_rejected")
+    return decide(page_rows, model, [F.col("page_id")], "html", declared_language(F.col("html")), F.col("url"), markup=True)
 
 
 def documents(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """identify() for docs (doc_id, text, lang, source), whose lang labels the sample and whose source is their host."""
     model = train(sample(labelled if labelled is not None else docs))
     return identify(docs, model, "text", place=F.col("source"))
+
+
+def known(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that documents() does not reject, with their own columns, whatever their names.
+
+    A row with a null or empty text is no evidence of a language, so it goes. Rows that repeat one
+    another stay or go together; an empty table stays empty. Only rows that may go are moved.
+    """
+    model = train(sample(labelled if labelled is not None else docs))
+    k = _key(F.col("text"), F.col("source"))
+    gone = shared.cut(decide(docs, model, [k.alias("k")], place=F.col("source")).where("lang_rejected").select("k").distinct(), "lang-rejected")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), k.alias("k"))
+    stay, maybe = shared.apart(rows, gone, "k")
+    return stay.unionAll(maybe.join(gone, "k", "left_anti").select("row", "k")).select("row.*")

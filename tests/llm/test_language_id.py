@@ -31,6 +31,25 @@ def test_pages(spark):
     assert len(rows) == pages.count() and np.mean([r["told"] == r["lang_id"] for r in rows]) >= 0.98
 
 
+def test_pages_that_declare_nothing(spark, monkeypatch):
+    """The declared language is held out here; priors by shuffled joins give the same as broadcast ones."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", r"(?i)\blang\s*=", "data-x="))
+    got = {r["page_id"]: tuple(r) for r in language_id.pages(bare, spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    told = {r["page_id"]: r["told"] for r in pages.select("page_id", language_id.declared_language(F.col("html")).alias("told")).collect()}
+    assert bare.where(language_id.declared_language(F.col("html")) != "").count() == 0
+    assert np.mean([told[i] == r[1] for i, r in got.items()]) >= 0.97
+    monkeypatch.setattr(language_id, "SMALL", 0)
+    again = language_id.pages(bare, spark.read.parquet(f"{SF}/documents.parquet"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    rows = again.collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "html" not in plan and "SortMergeJoin" in plan
+    assert all(got[r["page_id"]][1] == r["lang_id"] and abs(got[r["page_id"]][2] - r["lang_posterior"]) < 1e-9 for r in rows)
+
+
 def test_the_posterior_is_the_product_of_the_evidence(spark, model):
     """By hand: text, declared language, suffix and host priors, smoothed from corpus to domain to host."""
     en, de = "the of and that to in is was ", "der und die nicht ein ist von zu "

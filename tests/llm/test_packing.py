@@ -1,11 +1,11 @@
 import bisect
 import random
-import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 from conftest import SF
+from llm_helpers import check_packed
 from tokenizers import Tokenizer
 
 from framestride.llm import packing
@@ -52,32 +52,9 @@ def test_plan_is_best_fit_decreasing(seed):
     assert sorted(fill) == list(range(len(fill)))
 
 
-def check(docs, got):
-    tokenizer = Tokenizer.from_file(PATH)
-    by = {}
-    for r in got:
-        by.setdefault(r["doc_id"], []).append(r)
-    for r in docs:
-        ids = np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4")
-        at = 0
-        for p in sorted(by[r["doc_id"]], key=lambda p: p["start"]):
-            assert p["start"] == at and p["doc_tokens"] == len(ids) and p["ids_crc32"] == zlib.crc32(ids[at : at + p["length"]].tobytes())
-            at += p["length"]
-        assert at == len(ids)
-    windows = {}
-    for p in got:
-        windows.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
-    for pieces in windows.values():
-        at = 0
-        for offset, length in sorted(pieces):
-            assert offset == at
-            at += length
-        assert at <= packing.SIZE
-
-
 def test_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
-    check(docs.collect(), packing.pack(docs, PATH).collect())
+    check_packed(docs.collect(), packing.pack(docs, PATH).collect())
 
 
 TEXTS = [None, "", " ", "<|endoftext|> a<|startoftext|>b", "it's they'RE o'clock.,", "İstanbul ǅ ß ẞ Σας ΟΔΟΣ", "é a\x1cb \x85x", " x　y", "ﬁ ²½ ª º µ", "abc., 12,000. a1.", "日本語。テスト", "naïve,NAÏVE.", "é.x x́, ́.", "word " * 30_000]
@@ -104,7 +81,7 @@ def test_random_characters_as_the_library_does(monkeypatch):
 def test_edge_cases(spark):
     docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(TEXTS)], "doc_id bigint, text string, length int")
     got = packing.pack(docs, PATH)
-    check(docs.collect(), got.collect())
+    check_packed(docs.collect(), got.collect())
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert packing.pack(docs.limit(0), PATH).count() == 0
     twice = packing.pack(spark.createDataFrame([(1, "a"), (1, "a"), (None, "a")], "doc_id bigint, text string"), PATH).collect()
