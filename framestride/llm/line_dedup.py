@@ -217,12 +217,12 @@ def _repeats(docs: DataFrame, least: int, line: int) -> DataFrame:
     # doc orders documents by doc_id (null last) and then by their text's digest.
     lined = shared.cut(lined.withColumn("doc", F.concat(_order(F.col("doc_id"), kind), F.col("k"))), "line-docs")
     spread = lined.select("doc", F.explode("keys").alias("key")).select("doc", "key.key", "key.n")
-    first = spread.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a != z").select("key", "a")
+    # A table of its own, so that the join below has an exchange on either side, whose hot keys can be split.
+    first = shared.cut(spread.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a != z").select("key", "a"), "line-keys")
     # Repeated rows count twice here, which only means that a pair more is aligned.
     pairs = spread.join(first, "key").where("doc != a").groupBy("a", "doc").agg(F.sum("n").alias("n"))
     pairs = shared.cut(pairs.where(F.col("n") >= least).select("a", "doc"), "line-pairs")
-    hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).alias("runs")).where("runs > 1")
-    dealt = pairs.join(hot, "a", "left").withColumn("salt", F.pmod(F.xxhash64("doc"), F.coalesce("runs", F.lit(1))).cast("int"))
+    dealt = shared.dealt(pairs, "a", "doc", RUN)
     ask = dealt.select(F.col("doc").alias("of"), "a", "salt", "doc").unionAll(dealt.select(F.col("a").alias("of"), "a", "salt", F.lit(None).cast("binary").alias("doc")).distinct())
     wanted = shared.cut(pairs.select(F.explode(F.array("a", "doc")).alias("of")).distinct(), "line-wanted")
     body = shared.apart(lined.select(F.col("doc").alias("of"), "lines", "words"), wanted, "of")[1].dropDuplicates(["of"])

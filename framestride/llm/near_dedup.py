@@ -226,8 +226,7 @@ def _held(ks: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of distinct texts that reach THRESHOLD; pairs is a table."""
     # A leader's followers are dealt over as many runs as keep any run short; each run has the leader's text.
-    hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).alias("runs")).where("runs > 1")
-    dealt = pairs.join(hot, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("runs", F.lit(1))).cast("int"))
+    dealt = shared.dealt(pairs, "a", "b", RUN)
     ask = dealt.select(F.col("b").alias("k"), "a", "salt", "b").unionAll(dealt.select(F.col("a").alias("k"), "a", "salt", F.lit(None).cast("binary").alias("b")).distinct())
     ks = shared.cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "near-wanted")
     # Each text is sent once to its key, where one row per wanted pair or leader run takes it on.

@@ -118,6 +118,17 @@ def apart(rows: DataFrame, keys: DataFrame, *names: str) -> tuple[DataFrame, Dat
     return tuple(told.where(x).select(*rows.columns) for x in (~maybe, maybe))
 
 
+#: Heads with more than one run that are broadcast, at most: below 8 MB.
+HOT = 100_000
+
+
+def dealt(pairs: DataFrame, head: str, member: str, run: int) -> DataFrame:
+    """pairs (a table) with a column salt, which deals the members of each head over runs of about `run`."""
+    hot = cut(pairs.groupBy(head).agg(F.ceil(F.count("*") / run).alias("runs")).where("runs > 1"), "hot-heads")
+    hot = F.broadcast(hot) if hot.count() <= HOT else hot
+    return pairs.join(hot, head, "left").withColumn("salt", F.pmod(F.xxhash64(member), F.coalesce("runs", F.lit(1))).cast("int")).drop("runs")
+
+
 def sql_path(sf_dir: str, table: str) -> str:
     return f"{sf_dir}/{table}.parquet"
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 SHINGLE = 5
 
 _U = np.uint64
