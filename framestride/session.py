@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 
 #: Bytes of an Arrow batch, at most: a worker holds a few batches, whatever the length of the rows.
-BATCH = 8 << 20
+BATCH = 2 << 20
 
 
 def reachable(spark: SparkSession) -> SparkSession:
