@@ -66,3 +66,27 @@ def test_edge_cases(spark):
     got = token_counts.counted(docs, "v", P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
     assert sorted((repr(r["doc_id"]), r["tokens"]) for r in got) == [("1", 0), ("1", 0), ("None", 2)]
     assert token_counts.maintained(docs.limit(0), [("v", P.path("byte_bpe_50k.tiktoken"))], P.PATTERN).count() == 0
+
+
+def test_marks_make_up_for_a_lost_one_and_old_versions_go(spark, tmp_path):
+    rollup = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    rows = lambda n: spark.createDataFrame([("s", "en", "t", 1, n)], token_counts.SCHEMA)
+    for i in range(4):
+        assert rollup.apply(f"batch {i}", rows(10**i))
+    # As if the writer had died after it published the last version: its mark and a draft's remains.
+    rollup.fs.delete(rollup._mark("batch 3"), False)
+    (tmp_path / "r" / "draft-lost").write_text("{}")
+    again = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    assert not any(again.apply(f"batch {i}", rows(5)) for i in range(4))
+    assert again.apply("batch 4", rows(10**4)) and again.fs.exists(rollup._mark("batch 3"))
+    assert again.totals().first()["tokens"] == 11111 and again.totals().first()["docs"] == 5
+    left = [x.name for x in (tmp_path / "r").iterdir() if not x.name.startswith(".")]
+    assert sum(n.startswith("version-") for n in left) == 2 and sum(n.startswith("table-") for n in left) == 2 and "draft-lost" not in left
+
+
+def test_long_texts_are_counted_whole(spark):
+    import public_tokenizers as P
+
+    docs = spark.createDataFrame([(1, "word " * 300_000, None, None, 9), (2, None, "en", "s", 9), (2, "", "en", "s", 9)], "doc_id bigint, text string, lang string, source string, tokens int")
+    got = token_counts.counted(docs, "b", P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    assert sorted((r["doc_id"], r["tokens"]) for r in got) == [(1, 300_001), (2, 0), (2, 0)]
