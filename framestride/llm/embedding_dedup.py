@@ -30,7 +30,7 @@ THRESHOLD = 0.98
 #: Points that the first centroids are fitted on, and those of any other cell, at most; all points are indexed.
 SAMPLE = 4096
 #: Centroids of one level, points of a sample for each, and home points above which a cell is divided.
-CELLS, EACH, CELL = 64, 8, 4096
+CELLS, EACH, CELL = 16, 8, 2048
 #: Levels of cells within cells; points that so many do not tell apart are compared in blocks.
 LEVELS = 12
 ROUNDS = 8
@@ -269,8 +269,8 @@ def groups(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     centre = fit(sample, max(1, min(CELLS, len(sample) // EACH)))
     placed = point.select("label", "id", "n", "v").mapInArrow(shared.tidy(_assign(centre, threshold)), f"label {kind['label']}, id binary, n bigint, v {kind['embedding']}, cell string, home boolean")
     placed = _divided(shared.cut(placed, "embed-cells"), threshold)
-    blocks = placed.where("home").groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = placed.join(blocks, ["label", "cell"])
+    blocks = shared.cut(placed.where("home").groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "embed-blocks")
+    dealt = placed.join(F.broadcast(blocks) if blocks.count() <= shared.HOT else blocks, ["label", "cell"])
     own = F.struct(F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.lit(True).alias("as_home"))
     past = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda i: F.struct(i.alias("block"), F.lit(False).alias("as_home")))
     rows = dealt.select("label", "cell", "id", "n", "v", F.explode(F.when(F.col("home"), F.concat(F.array(own), past)).otherwise(past)).alias("to")).select("label", "cell", "to.*", "id", "n", "v")
@@ -280,7 +280,8 @@ def groups(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     root = shared.components(found.where("a != b").select("a", "b"))
     named = point.select("id", "label", "h", "n", "least").join(root.withColumnRenamed("node", "id"), "id", "left").join(many, "id", "left")
     named = named.withColumn("root", F.coalesce("root", "id"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # A table of its own, so that the join has an exchange on either side, whose hot roots can be split.
+    least = shared.cut(named.groupBy("root").agg(F.min("least").alias("component_id")), "embed-least")
     named = named.join(least, "root").select("label", "h", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
     alone = hashed.where("h is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     linked = keyed.select("vec_id", "label", "h").join(shared.cut(named, "embed-named"), ["label", "h"])
