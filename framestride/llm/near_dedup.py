@@ -300,7 +300,8 @@ def _classes(docs: DataFrame) -> DataFrame:
         root = shared.components(links.unionAll(more))
 
     named = signed.select("k", "doc_id").join(root.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    # A table of its own, so that the join has an exchange on either side, whose hot classes can be split.
+    least = shared.cut(named.groupBy("root").agg(F.min("doc_id").alias("class_id")), "near-least")
     named = shared.cut(named.join(least, "root").select("k", "class_id"), "near-classes")
     out = docs.select("doc_id", F.unhex(F.md5(F.col("text"))).alias("k")).join(named, "k", "left")
     own = F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
