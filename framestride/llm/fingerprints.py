@@ -25,6 +25,8 @@ BINS, BITS = 512, 4
 #: Characters of the documents of a run, about; a run is read as a stream by one task. Runs' edges are picked from
 #: EDGES sampled ids a run, which the driver holds (3 million of them for 100 TB).
 RUN, EDGES = 32 << 20, 20
+#: Characters that are fingerprinted at once, about.
+BATCH = 1 << 20
 _U = np.uint64
 
 
@@ -95,7 +97,7 @@ def _digest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         kind = part.column("doc_id").type
         rows = list(zip(*(part.column(c).to_pylist() for c in ("run", "doc_id", "text", "guest")), strict=True))
-        for lo, hi in shingles.batches([r[2] for r in rows]):
+        for lo, hi in shingles.batches([r[2] for r in rows], BATCH):
             kept += rows[lo:hi]
             yield from work(kept, kind)
             kept = kept[-1:]
