@@ -2,6 +2,8 @@
 
 import json
 import os
+import random
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -20,31 +22,62 @@ def info(root, **fields):
         json.dump(told | fields, f)
 
 
-def custom(root):
-    """Two cameras, three episodes over two data files with a late column, and files that no route names."""
-    root = str(root)
-    info(root, data_path="frames/chunk-{chunk_index:02d}/part-{file_index:04d}.parquet", video_path="media/{video_key}/chunk-{chunk_index:02d}/clip-{file_index:04d}.mp4", fps=30, total_episodes=3, total_frames=6, total_tasks=2, features={"front": {"dtype": "video"}, "action": {"dtype": "float32"}, "wrist": {"dtype": "video"}})
-    episodes = {"episode_index": [0, 1, 2], "length": [2, 2, 2], "data/chunk_index": [0, 0, 0], "data/file_index": [0, 0, 1]}
-    for key, last in (("front", True), ("wrist", False)):
-        routes = {"chunk_index": [0, 0, 0], "file_index": [0, 0, 1], "from_timestamp": [0.0, 0.1, 0.0], "to_timestamp": [0.1, 0.2, 0.1]}
-        episodes |= {f"videos/{key}/{c}": v if last else [*v[:2], None] for c, v in routes.items()}
-    write(f"{root}/meta/episodes/chunk-000/file-000.parquet", episodes)
-    write(f"{root}/meta/tasks.parquet", {"task_index": [0, 1], "task": ["pick up the cube", "place the cube"]})
-    write(f"{root}/frames/chunk-00/part-0000.parquet", {"episode_index": [0, 0, 1, 1], "frame_index": [0, 1, 2, 3], "timestamp": [0.0, 0.033333, 0.0, 0.033333]})
-    write(f"{root}/frames/chunk-00/part-0001.parquet", {"episode_index": [2, 2], "frame_index": [4, 5], "timestamp": [0.0, 0.033333], "shard_marker": ["late", "late"]})
-    write(f"{root}/frames/poison.parquet", {"episode_index": ["bad"], "frame_index": ["bad"]})
-    write(f"{root}/frames/chunk-00/part-0002.parquet", {"episode_index": [1], "frame_index": [77], "timestamp": [9.0]})
-    return root
+@dataclass
+class Made:
+    """A dataset from a seed, and plain-Python rows of what it holds."""
 
+    root: str
+    fps: int
+    length: dict = field(default_factory=dict)
+    shard: dict = field(default_factory=dict)
+    #: (episode, frame, timestamp, value)
+    frames: list = field(default_factory=list)
+    #: (episode, key) to (chunk, file, from, to)
+    routes: dict = field(default_factory=dict)
+    tasks: list = field(default_factory=list)
 
-def temporal(root):
-    """Episodes 0 and 2 of three and two frames at 10 a second."""
-    root = str(root)
-    info(root, total_episodes=2, total_frames=5, total_tasks=2)
-    write(f"{root}/meta/episodes/e.parquet", {"episode_index": [0, 2], "length": [3, 2], "data/chunk_index": [0, 0], "data/file_index": [0, 0]})
-    write(f"{root}/meta/tasks.parquet", {"task_index": [0, 1], "task": ["pick", "place"]})
-    write(f"{root}/data/file-000.parquet", {"episode_index": [0, 0, 0, 2, 2], "frame_index": [0, 1, 2, 0, 1], "timestamp": [0.0, 0.1, 0.2, 0.0, 0.1], "action": [10, 11, 12, 20, 21]})
-    return root
+    def path(self, chunk, file):
+        return f"{self.root}/rows/{chunk}/n{file:05d}.parquet"
+
+    def episode_columns(self):
+        es = list(self.length)
+        out = {"episode_index": es, "length": [self.length[e] for e in es], "data/chunk_index": [self.shard[e][0] for e in es], "data/file_index": [self.shard[e][1] for e in es]}
+        for key in KEYS:
+            for i, c in enumerate(("chunk_index", "file_index", "from_timestamp", "to_timestamp")):
+                out[f"videos/{key}/{c}"] = [self.routes.get((e, key), [None] * 4)[i] for e in es]
+        return out
+
+    def save_episodes(self, **change):
+        write(f"{self.root}/meta/episodes/one.parquet", self.episode_columns() | change)
+
+
+KEYS = ("left.eye", "rear")
+
+
+def made(root, seed, gaps=False):
+    """Random episodes over shards of two chunks, one with a column of its own; and files that nothing names."""
+    rng = random.Random(seed)
+    out = Made(str(root), rng.choice([8, 16, 32]))
+    ids = sorted(rng.sample(range(40), 7)) if gaps else list(range(7))
+    for i, e in enumerate(ids):
+        out.length[e] = rng.randint(1, 5)
+        out.shard[e] = (i // 4, i % 4 // 2)
+        out.frames += [(e, f, f / out.fps, rng.randint(0, 999)) for f in range(out.length[e])]
+        for key in KEYS:
+            if key == KEYS[0] or rng.random() < 0.6:
+                out.routes[(e, key)] = (i // 4, i % 4, i * 2.5, i * 2.5 + out.length[e] / out.fps)
+    out.tasks = [(i, f"task of seed {seed}, number {i}") for i in range(3)]
+    told = {k: {"dtype": "video"} for k in KEYS} | {"value": {"dtype": "int64", "shape": [1]}}
+    info(out.root, data_path="rows/{chunk_index}/n{file_index:05d}.parquet", video_path="film/{video_key}/{chunk_index}-{file_index}.bin", fps=out.fps, total_episodes=len(ids), total_frames=len(out.frames), total_tasks=3, features=told)
+    out.save_episodes()
+    write(f"{out.root}/meta/tasks.parquet", {"task_index": [i for i, _ in out.tasks], "task": [t for _, t in out.tasks]})
+    for chunk, file in sorted(set(out.shard.values())):
+        rows = [r for r in out.frames if out.shard[r[0]] == (chunk, file)]
+        more = {"extra": [f"x{r[3]}" for r in rows]} if chunk else {}
+        write(out.path(chunk, file), {c: [r[i] for r in rows] for i, c in enumerate(("episode_index", "frame_index", "timestamp", "value"))} | more)
+    write(out.path(7, 7), {"episode_index": ids[:1], "frame_index": [10**6], "timestamp": [0.5], "value": [-1]})
+    write(f"{out.root}/rows/other.parquet", {"unlike": ["these"]})
+    return out
 
 
 def filmed(root, times=((0, 0, 0.0), (0, 1, 0.5), (1, 0, 0.0)), suffix=".raw", start=10.0):

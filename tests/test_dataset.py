@@ -1,7 +1,8 @@
 import json
+import random
 
 import pytest
-from helpers import custom, info, write
+from helpers import KEYS, info, made, write
 from pyspark.errors import PySparkException
 
 from framestride.errors import DatasetError
@@ -9,150 +10,165 @@ from framestride.sources.dataset import Dataset, binary_as_string
 from framestride.sources.info import parse
 
 
+@pytest.fixture(params=[3, 14])
+def model(request, tmp_path):
+    return made(tmp_path / "set", request.param, gaps=request.param % 2 == 0)
+
+
 @pytest.fixture
-def ds(spark, tmp_path):
-    return Dataset(spark, custom(tmp_path / "set"))
+def ds(spark, model):
+    return Dataset(spark, model.root)
 
 
 def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def cached(ds):
-    return [(r["component"], r["cached"], r["entries"], r["bytes"] > 0) for r in ds.cache_info().collect()]
+def held(ds):
+    """What the cache holds: per component whether it is kept; its entries and bytes say the same."""
+    got = ds.cache_info().collect()
+    assert all(r["entries"] == int(r["cached"]) and (r["bytes"] > 0) == r["cached"] for r in got)
+    return {r["component"] for r in got if r["cached"]}
+
 
+NAMES = ["episode_index", "frame_index", "timestamp", "value"]
 
-def test_scans_read_the_files_of_the_episodes_alone(ds):
-    got = ds.scan().select("episode_index", "frame_index")
-    assert rows(got) == [(0, 0), (0, 1), (1, 2), (1, 3), (2, 4), (2, 5)]
-    assert len(ds.scan().inputFiles()) == 2
-    pruned = ds.scan([2, 1, 1])
-    assert rows(pruned.select("episode_index", "frame_index")) == [(1, 2), (1, 3), (2, 4), (2, 5)]
-    assert [f[-9:] for f in ds.scan([2]).inputFiles()] == ["1.parquet"]
-    plan = ds.scan([1]).select("frame_index")._jdf.queryExecution().executedPlan().toString()
-    assert "In(episode_index" in plan or "EqualTo(episode_index" in plan
 
+def test_scans_are_the_frames_of_the_episodes_and_of_their_files_alone(ds, model):
+    assert rows(ds.scan().select(NAMES)) == sorted(model.frames)
+    assert len(ds.scan().inputFiles()) == len(set(model.shard.values()))
+    rng = random.Random(1)
+    for _ in range(6):
+        wanted = rng.choices([*model.length, 500], k=rng.randint(1, 4))
+        got = ds.scan(wanted)
+        assert rows(got.select(NAMES)) == sorted(r for r in model.frames if r[0] in wanted)
+        if set(wanted) & set(model.length):
+            assert {f.removeprefix("file://") for f in got.inputFiles()} == {model.path(*model.shard[e]) for e in wanted if e in model.shard}
+            assert "episode_index" in got.select("value")._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1]
 
-def test_selections_without_a_match_keep_the_schema(ds):
-    for wanted in ([], [999]):
-        assert ds.scan(wanted).columns == ["episode_index", "frame_index", "timestamp"]
-        assert ds.scan(wanted).count() == 0
-        assert ds.scan(wanted, union_by_name=True).columns[-1] == "shard_marker"
 
+@pytest.mark.parametrize("wanted", [[], [500], [10**12, 500, 500]])
+def test_selections_without_a_match_keep_the_schema(ds, wanted):
+    assert (ds.scan(wanted).columns, ds.scan(wanted).count()) == (NAMES, 0)
+    assert ds.scan(wanted, union_by_name=True).columns == [*NAMES, "extra"]
 
-def test_parquet_options(ds):
+
+def test_parquet_options(ds, model):
     df = ds.scan(union_by_name=True, filename=True, file_row_number=True)
-    assert df.columns == ["episode_index", "frame_index", "timestamp", "shard_marker", "filename", "file_row_number"]
-    got = rows(df.select("frame_index", "shard_marker", "file_row_number"))
-    assert got[0] == (0, None, 0) and got[-1] == (5, "late", 1)
-    assert all(r[0].startswith("/") for r in df.select("filename").collect())
-    assert ds.scan(filename="place").columns[-1] == "place"
+    assert df.columns == [*NAMES, "extra", "filename", "file_row_number"]
+    at = {}
+    for e, f, _, v in model.frames:
+        shard = model.shard[e]
+        at[shard] = at.get(shard, -1) + 1
+        assert df.where(f"episode_index = {e} and frame_index = {f}").select("extra", "filename", "file_row_number").collect() == [(f"x{v}" if shard[0] else None, model.path(*shard), at[shard])]
+    assert ds.scan(filename="origin").columns[-1] == "origin"
     with pytest.raises(DatasetError, match="already have"):
-        ds.scan(filename="timestamp")
-    with pytest.raises(DatasetError, match="filename must not be NULL"):
-        ds.scan(filename=None)
+        ds.scan(filename="value")
+    for option in ("filename", "file_row_number", "union_by_name", "binary_as_string"):
+        with pytest.raises(DatasetError, match=f"{option} must not be NULL"):
+            ds.scan(**{option: None})
     with pytest.raises(TypeError):
-        ds.scan(hive_partitioning=True)
+        ds.scan(unknown_option=True)
 
 
-def test_arguments(ds):
-    for bad, what in ((None, "must not be NULL"), ([None], "contain NULL"), ([-1], "non-negative")):
-        with pytest.raises(DatasetError, match=what):
-            ds.video_routes(bad)
-        if bad is not None:
-            with pytest.raises(DatasetError, match=what):
-                ds.scan(bad)
-    for keys, what in (([None], "contain NULL"), ([""], "empty key"), (["other"], "Unknown video key")):
+@pytest.mark.parametrize(("bad", "what"), [(None, "must not be NULL"), ([4, None], "contain NULL"), ([3, -2], "non-negative")])
+def test_bad_episode_lists(ds, bad, what):
+    with pytest.raises(DatasetError, match=what):
+        ds.video_routes(bad)
+    if bad is not None:
         with pytest.raises(DatasetError, match=what):
-            ds.video_routes([0], video_keys=keys)
-    with pytest.raises(DatasetError, match="refresh must not be NULL"):
-        ds.tasks(refresh=None)
+            ds.scan(bad)
+
+
+@pytest.mark.parametrize(("keys", "what"), [([KEYS[0], None], "contain NULL"), (["", KEYS[1]], "empty key"), (["none such"], "Unknown video key")])
+def test_bad_keys(ds, keys, what):
+    with pytest.raises(DatasetError, match=what):
+        ds.video_routes([0], video_keys=keys)
+
+
+def test_bad_flags_and_roots(ds):
+    for f in (ds.tasks, ds.episodes, ds.stats, ds.info):
+        with pytest.raises(DatasetError, match="refresh must not be NULL"):
+            f(refresh=None)
     with pytest.raises(DatasetError, match="root must not be NULL"):
         Dataset(ds.spark, None)
 
 
-def test_video_routes(ds):
-    got = [tuple(r) for r in ds.video_routes([2, 1, 1]).collect()]
-    at = f"{ds.place}/media"
-    assert got == [
-        (1, "front", f"{at}/front/chunk-00/clip-0000.mp4", 0, 0, 0.1, 0.2, 30),
-        (1, "wrist", f"{at}/wrist/chunk-00/clip-0000.mp4", 0, 0, 0.1, 0.2, 30),
-        (2, "front", f"{at}/front/chunk-00/clip-0001.mp4", 0, 1, 0.0, 0.1, 30),
-    ]
-    assert ds.video_routes([0], video_keys=["wrist"]).count() == 1
-    assert ds.video_routes([]).count() == 0 and ds.video_routes([0], video_keys=[]).count() == 0
-
-
-def test_metadata_relations(ds):
-    assert ds.info().select("fps").first()[0] == 30
-    assert ds.episodes().count() == 3
-    assert rows(ds.tasks()) == [(0, "pick up the cube"), (1, "place the cube")]
-
-
-def test_cache(ds):
-    empty = [("data", False, 0, False), ("video", False, 0, False)]
-    assert cached(ds) == empty == cached(ds)
-    ds.episodes()
-    ds.tasks()
-    assert cached(ds) == empty
-    ds.scan([0])
-    assert cached(ds) == [("data", True, 1, True), ("video", False, 0, False)]
+def test_video_routes(ds, model):
+    def want(episodes, keys):
+        return [(e, k, f"{ds.place}/film/{k}/{c}-{f}.bin", c, f, a, b, model.fps) for (e, k), (c, f, a, b) in sorted(model.routes.items()) if e in episodes and k in keys]
+
+    rng = random.Random(2)
+    for keys in (None, [KEYS[1]], [KEYS[1], KEYS[0], KEYS[1]], []):
+        asked = rng.choices([*model.length, 500], k=5)
+        assert [tuple(r) for r in ds.video_routes(asked, video_keys=keys).collect()] == want(asked, KEYS if keys is None else keys)
+    assert ds.video_routes([]).count() == 0
+
+
+def test_metadata_relations(ds, model):
+    assert ds.info().select("fps").first()[0] == model.fps
+    assert rows(ds.episodes().select("episode_index", "length")) == sorted(model.length.items())
+    assert rows(ds.tasks()) == model.tasks
+
+
+def test_cache(ds, model):
+    assert held(ds) == set() == held(ds)
+    ds.episodes(), ds.tasks()
+    assert held(ds) == set()
+    ds.scan(list(model.length)[:1])
+    assert held(ds) == {"data"}
     ds.video_routes([0])
-    assert cached(ds) == [("data", True, 1, True), ("video", True, 1, True)]
-    ds.tasks(refresh=True)
-    assert cached(ds) == empty
-    assert [r[0] for r in Dataset(ds.spark, "/nowhere").cache_info().collect()] == ["/nowhere"] * 2
-
-
-def test_a_changed_info_is_noticed(ds):
-    assert ds.scan().count() == 6
-    path = f"{ds.place}/meta/info.json"
-    told = json.load(open(path))
-    json.dump(told | {"total_frames": 1234567}, open(path, "w"))
-    with pytest.raises(DatasetError, match="declares 1234567 frames"):
+    assert held(ds) == {"data", "video"}
+    ds.episodes(refresh=True)
+    assert held(ds) == set()
+    assert {r["root"] for r in Dataset(ds.spark, "/not/there").cache_info().collect()} == {"/not/there"}
+
+
+def test_a_changed_info_is_noticed(ds, model):
+    assert ds.scan().count() == len(model.frames)
+    info(model.root, **json.load(open(f"{model.root}/meta/info.json")) | {"total_frames": 987654})
+    with pytest.raises(DatasetError, match="declares 987654 frames"):
         ds.scan()
 
 
+def _with(values, i, value):
+    return [value if j == i else v for j, v in enumerate(values)]
+
+
 @pytest.mark.parametrize(
-    ("change", "what"),
+    ("column", "change", "what"),
     [
-        ({"episode_index": [0, 0, 2]}, "Duplicate episode_index"), ({"episode_index": [-1, 1, 2]}, "non-negative"), ({"length": [2, 0, 4]}, "must be positive"),
-        ({"length": [2, None, 2]}, "must not contain NULL"), ({"length": [2, 2, 3]}, "declares 6 frames"),
+        ("episode_index", lambda v: _with(v, 1, v[0]), "Duplicate episode_index"), ("episode_index", lambda v: _with(v, 2, -7), "non-negative"), ("length", lambda v: _with(v, 3, 0), "must be positive"),
+        ("length", lambda v: _with(v, 4, None), "must not contain NULL"), ("length", lambda v: _with(v, 5, v[5] + 1), "frames, but episode metadata"), ("data/file_index", lambda v: _with(v, 0, None), "must not contain NULL"),
     ],
 )
-def test_bad_episodes(spark, tmp_path, change, what):
-    root = custom(tmp_path / "set")
-    base = {"episode_index": [0, 1, 2], "length": [2, 2, 2], "data/chunk_index": [0, 0, 0], "data/file_index": [0, 0, 1]}
-    write(f"{root}/meta/episodes/chunk-000/file-000.parquet", base | change)
+def test_bad_episodes(ds, model, column, change, what):
+    model.save_episodes(**{column: change(model.episode_columns()[column])})
     with pytest.raises(DatasetError, match=what):
-        Dataset(spark, root).scan()
+        ds.scan()
 
 
 @pytest.mark.parametrize(
-    ("change", "what"),
+    ("column", "change", "what"),
     [
-        ({"videos/front/to_timestamp": [0.1, None, 0.1]}, "partially NULL"), ({"videos/front/from_timestamp": [0.2, 0.1, 0.0]}, "Invalid video timestamp range"),
-        ({"videos/front/from_timestamp": [float("nan"), 0.1, 0.0]}, "Invalid video timestamp range"), ({"videos/front/file_index": [0, -1, 1]}, "non-negative"),
+        ("to_timestamp", lambda v: _with(v, 1, None), "partially NULL"), ("from_timestamp", lambda v: _with(v, 2, 10**6 * 1.0), "Invalid video timestamp range"), ("to_timestamp", lambda v: _with(v, 3, float("inf")), "Invalid video timestamp range"),
+        ("from_timestamp", lambda v: _with(v, 0, float("nan")), "Invalid video timestamp range"), ("chunk_index", lambda v: _with(v, 4, -1), "non-negative"),
     ],
 )
-def test_bad_routes(spark, tmp_path, change, what):
-    root = custom(tmp_path / "set")
-    base = {"episode_index": [0, 1, 2], "length": [2, 2, 2], "data/chunk_index": [0, 0, 0], "data/file_index": [0, 0, 1]}
-    for key in ("front", "wrist"):
-        base |= {f"videos/{key}/chunk_index": [0, 0, 0], f"videos/{key}/file_index": [0, 0, 1], f"videos/{key}/from_timestamp": [0.0, 0.1, 0.0], f"videos/{key}/to_timestamp": [0.1, 0.2, 0.1]}
-    write(f"{root}/meta/episodes/chunk-000/file-000.parquet", base | change)
-    ds = Dataset(spark, root)
-    assert ds.scan().count() == 6
+def test_bad_routes(ds, model, column, change, what):
+    name = f"videos/{KEYS[0]}/{column}"
+    model.save_episodes(**{name: change(model.episode_columns()[name])})
+    assert ds.scan().count() == len(model.frames)
     with pytest.raises(DatasetError, match=what):
         ds.video_routes([0])
 
 
-def test_cameras_must_not_share_a_file(spark, tmp_path):
-    root = custom(tmp_path / "set")
-    told = json.load(open(f"{root}/meta/info.json"))
-    json.dump(told | {"video_path": "media/{file_index}.mp4"}, open(f"{root}/meta/info.json", "w"))
+def test_cameras_must_not_share_a_file(ds, model):
+    info(model.root, **json.load(open(f"{model.root}/meta/info.json")) | {"video_path": "film/{chunk_index}/{file_index}.bin"})
+    both = [e for e in model.length if (e, KEYS[1]) in model.routes]
+    assert both
     with pytest.raises(DatasetError, match="is shared by feature keys"):
-        Dataset(spark, root).video_routes([0])
+        ds.video_routes(both)
 
 
 BASE = {"codebase_version": "v3.0", "data_path": "d", "fps": 10, "total_episodes": 1, "total_frames": 1, "total_tasks": 0, "video_path": "v/{video_key}", "features": {}}

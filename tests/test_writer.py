@@ -17,8 +17,26 @@ FRAMES = "episode_index bigint, task string, o int, state array<float>, action f
 FEATURES = {"state": {"dtype": "float32", "shape": [2], "names": ["x", "y"]}, "action": {"dtype": "float32", "shape": [1]}}
 
 
+LENGTHS, TASKS = [3, 1, 4, 2, 2], ["stack", "sort", "stack", "pour", "sort"]
+
+
+def shuffled(spark, seed=8):
+    """Episodes of LENGTHS frames with random values, in random order; and the rows as they should come back."""
+    rng = np.random.default_rng(seed)
+    rows = [(e, TASKS[e], int(10 * o + rng.integers(10)), [float(np.float32(x)) for x in rng.normal(size=2)], float(np.float32(rng.normal()))) for e, n in enumerate(LENGTHS) for o in range(n)]
+    return spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], FRAMES), rows
+
+
 def small(spark):
-    return spark.createDataFrame([(e, t, o, [float(v), float(v + 10)], v / 10) for e, t, o, v in ((1, "place", 1, 11), (0, "pick", 1, 1), (0, "pick", 0, 0), (1, "place", 0, 10))], FRAMES)
+    return shuffled(spark)[0]
+
+
+def slow_stats(values):
+    """Statistics of float32 values by a plain loop: pairs of neighbours are added level by level below blocks of eight."""
+    x = np.asarray(values, np.float32)
+    mean = np.float32(np.add.reduce(x) / np.float32(len(x)))
+    off = np.array([(v - mean) * (v - mean) for v in x], np.float32)
+    return {"min": float(min(x)), "max": float(max(x)), "mean": float(mean), "std": float(np.sqrt(np.float32(np.add.reduce(off) / np.float32(len(x)))))}
 
 
 def write(df, root, features=FEATURES, **options):
@@ -26,32 +44,32 @@ def write(df, root, features=FEATURES, **options):
 
 
 def test_numeric_round_trip(spark, tmp_path):
-    told = write(small(spark), tmp_path / "d", robot_type="testbot", chunks_size=1, data_files_size_in_mb=0.000001, metadata_buffer_size=1)
-    ds = Dataset(spark, str(tmp_path / "d"))
-    assert told["total_frames"] == 4 and ds.meta().tasks == 2 and ds.info().select("robot_type").first()[0] == "testbot"
-    rows = ds.scan().orderBy("index").collect()
-    assert [(r["episode_index"], r["frame_index"], r["index"], r["task_index"], r["state"][0], round(r["timestamp"], 1)) for r in rows] == [(0, 0, 0, 0, 0.0, 0.0), (0, 1, 1, 0, 1.0, 0.1), (1, 0, 2, 1, 10.0, 0.0), (1, 1, 3, 1, 11.0, 0.1)]
-    assert sorted(tuple(r) for r in ds.tasks().collect()) == [(0, "pick"), (1, "place")]
-    names = ["episode_index", "length", "data/chunk_index", "data/file_index", "dataset_from_index", "dataset_to_index", "meta/episodes/chunk_index"]
-    got = ds.episodes().orderBy("episode_index")
-    assert [tuple(r) for r in got.select(*(f"`{n}`" for n in names)).collect()] == [(0, 2, 0, 0, 0, 2, 0), (1, 2, 1, 0, 2, 4, 1)]
-    first = got.first()
-    assert first["stats/action/std"][0] == 0.05000000074505806 and first["stats/action/q90"][0] == 0.09999600052833557 and first["stats/timestamp/q90"][0] == 0.099996000099992
-    assert json.load(open(tmp_path / "d/meta/stats.json"))["action"]["std"][0] == 0.5024938447111051
+    df, rows = shuffled(spark)
+    told = write(df, tmp_path / "d", robot_type="arm of a test", chunks_size=2, data_files_size_in_mb=0.000001, metadata_buffer_size=2)
+    ds, n = Dataset(spark, str(tmp_path / "d")), len(rows)
+    assert told["total_frames"] == n and ds.meta().tasks == 3 and ds.info().select("robot_type").first()[0] == "arm of a test"
+    order = list(dict.fromkeys(TASKS))
+    frame = [o for k in LENGTHS for o in range(k)]
+    got = [(r["episode_index"], r["frame_index"], r["index"], r["task_index"], r["state"], r["action"], r["timestamp"]) for r in ds.scan().orderBy("index").collect()]
+    assert got == [(r[0], f, i, order.index(r[1]), r[3], r[4], np.float32(f / 10)) for i, (r, f) in enumerate(zip(rows, frame, strict=True))]
+    assert sorted(tuple(r) for r in ds.tasks().collect()) == list(enumerate(order))
+    # A shard that is full after any episode: one file each, two to a chunk.
+    ends = np.cumsum(LENGTHS).tolist()
+    names = ["episode_index", "length", "data/chunk_index", "data/file_index", "dataset_from_index", "dataset_to_index"]
+    episodes = ds.episodes().orderBy("episode_index").collect()
+    assert [tuple(r[n] for n in names) for r in episodes] == [(e, k, e // 2, e % 2, ends[e] - k, ends[e]) for e, k in enumerate(LENGTHS)]
+    for e, r in enumerate(episodes):
+        want = slow_stats([x[4] for x in rows if x[0] == e])
+        assert {k: r[f"stats/action/{k}"][0] for k in want} == pytest.approx(want, rel=1e-6, abs=1e-7) and r["stats/action/count"] == [LENGTHS[e]]
+    whole = json.load(open(tmp_path / "d/meta/stats.json"))["action"]
+    every = np.array([x[4] for x in rows])
+    assert whole["count"] == [n] and whole["mean"][0] == pytest.approx(every.mean(), rel=1e-5) and whole["std"][0] == pytest.approx(every.std(), rel=1e-5)
+    assert (whole["min"][0], whole["max"][0]) == (every.min(), every.max())
     shard = pq.read_schema(tmp_path / "d/data/chunk-000/file-000.parquet")
     assert json.loads(shard.metadata[b"huggingface"])["info"]["features"]["state"] == {"feature": {"dtype": "float32", "_type": "Value"}, "length": 2, "_type": "List"}
     assert not [p for p in os.listdir(tmp_path) if ".tmp-" in p]
 
 
-def test_statistics_golden_of_nine_rows(spark, tmp_path):
-    rows = [(0, "t", i, [0.0, 0.0], i / 1000 if i < 4 else 0.004) for i in range(5)]
-    df = spark.createDataFrame(rows, FRAMES)
-    write(df, tmp_path / "d")
-    values = np.array([r[4] for r in rows], np.float32)
-    s = json.load(open(tmp_path / "d/meta/stats.json"))["action"]
-    assert s["mean"][0] == float(np.add.reduce(values) / np.float32(5)) and s["count"] == [5]
-
-
 def test_all_numeric_types_and_nested_shapes(spark, tmp_path):
     kinds = {"int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "uint8": "smallint", "uint16": "int", "uint32": "bigint", "uint64": "decimal(20,0)", "float64": "double", "bool": "boolean"}
     top = {"int8": 127, "int16": 32767, "int32": 2**31 - 1, "int64": 2**63 - 1, "uint8": 255, "uint16": 65535, "uint32": 2**32 - 1, "uint64": 2**64 - 1, "float64": 0.5, "bool": True}
