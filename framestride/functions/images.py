@@ -46,11 +46,31 @@ def encode_tiff(image: np.ndarray) -> bytes:
     return struct.pack("<2sHI", b"II", 42, 8 + len(data) + pad) + data + b"\0" * pad + struct.pack("<H", len(fields)) + table + struct.pack("<I", 0)
 
 
+def _unfilter_diagonals(raw: np.ndarray, height: int, width: int, step: int) -> np.ndarray:
+    """Undo row filters of any kind: the pixels of one anti-diagonal depend on the two before it only."""
+    if (raw[:, 0] > 4).any():
+        raise DatasetError("PNG image has an unknown row filter")
+    kind, pixels = raw[:, 0], raw[:, 1:].reshape(height, width, step).astype(np.int16)
+    # A row and a column of zeros stand above and to the left.
+    out = np.zeros((height + 1, width + 1, step), np.int16)
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x, k = d - y, kind[y][:, None]
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        dl, du, dc = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+        paeth = np.where((dl <= du) & (dl <= dc), left, np.where(du <= dc, up, corner))
+        guess = np.where(k == 1, left, np.where(k == 2, up, np.where(k == 3, (left + up) >> 1, np.where(k == 4, paeth, 0))))
+        out[y + 1, x + 1] = (pixels[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8).reshape(height, width * step)
+
+
 def _unfilter(raw: np.ndarray, height: int, line: int, step: int) -> np.ndarray:
     """Undo the row filters; step is the bytes of a pixel."""
     if len(raw) < height * (line + 1):
         raise DatasetError("PNG image data is truncated")
     raw = raw[: height * (line + 1)].reshape(height, line + 1)
+    if np.isin(raw[:, 0], (3, 4)).any():
+        return _unfilter_diagonals(raw, height, line // step, step)
     out, above = np.zeros((height, line), np.uint8), np.zeros(line, np.uint8)
     for y in range(height):
         kind, row = raw[y, 0], raw[y, 1:]
@@ -61,18 +81,6 @@ def _unfilter(raw: np.ndarray, height: int, line: int, step: int) -> np.ndarray:
         elif kind == 1:
             for k in range(min(step, line)):
                 out[y, k::step] = np.cumsum(row[k::step], dtype=np.uint64).astype(np.uint8)
-        elif kind in (3, 4):
-            a, b, made = row.tolist(), above.tolist(), [0] * line
-            for x in range(line):
-                left = made[x - step] if x >= step else 0
-                if kind == 3:
-                    made[x] = (a[x] + (left + b[x]) // 2) & 255
-                else:
-                    corner = b[x - step] if x >= step else 0
-                    p = left + b[x] - corner
-                    da, db, dc = abs(p - left), abs(p - b[x]), abs(p - corner)
-                    made[x] = (a[x] + (left if da <= db and da <= dc else b[x] if db <= dc else corner)) & 255
-            out[y] = made
         else:
             raise DatasetError("PNG image has an unknown row filter")
         above = out[y]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DatasetError
+from ..scratch import kept
 from .temporal import first_problem, guard, text
 
 
@@ -36,8 +37,10 @@ def timestamps(targets: DataFrame, frames: DataFrame, eager: bool = True) -> Dat
     """targets (.., episode_index, target_frame_index) with the timestamp of each target frame."""
     found = matches(targets.select("episode_index", F.col("target_frame_index").alias("frame_index")), frames)
     found = found.withColumnRenamed("frame_index", "target_frame_index")
-    if eager and (bad := found.select(match_problem().alias("p")).agg(F.min("p")).first()[0]):
-        raise DatasetError(bad)
+    if eager:
+        found = kept(found, "timestamps")
+        if bad := found.select(match_problem().alias("p")).agg(F.min("p")).first()[0]:
+            raise DatasetError(bad)
     joined = targets.join(guard(found, match_problem()).drop("matches"), ["episode_index", "target_frame_index"], "left")
     return guard(joined, F.when(F.col("timestamp").isNull(), F.lit("target frame has no timestamp")))
 

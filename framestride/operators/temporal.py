@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DatasetError
+from ..scratch import kept
 from ..sources.dataset import Dataset, col
 
 TOLERANCE = 1e-4
@@ -120,7 +121,8 @@ def numbered(rows: DataFrame, problem: Column, keys: list[str]) -> DataFrame:
     Rows number themselves within hashed buckets, so no task sees them all. The job that counts the
     buckets also looks for problems, so that a bad row raises before any filter or limit hides it.
     """
-    base = rows.withColumn("_hash", F.xxhash64(*keys))
+    # A table, so that what the rows were joined with is not joined again by the plan that follows.
+    base = kept(rows.withColumn("_hash", F.xxhash64(*keys)), "numbered")
     found = base.groupBy(F.pmod("_hash", F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n"), F.min(problem).alias("p")).collect()  # BUCKETS rows at most
     if bad := min((r["p"] for r in found if r["p"]), default=None):
         raise DatasetError(bad)

@@ -4,11 +4,9 @@ All columns but the decoded ones are plain expressions. Decoded columns are fiel
 column, so a query that does not select them never opens a media file.
 """
 
-from __future__ import annotations
-
 import math
 from collections import OrderedDict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,12 +24,14 @@ from .temporal import TOLERANCE, check_tolerance, clamp, deltas, few, first_prob
 #: Frames that one seek may run over, and request x delta pairs that a window call may expand to.
 SPAN = 20_000
 PAIRS = 100_000
+#: Stands for every episode where episodes are listed.
+ALL = object()
 DECODED = "struct<decoded_timestamp: double, width: int, height: int, image: binary>"
 
 
 @dataclass(frozen=True, kw_only=True)
 class Options:
-    """Options of decoding; those about threads and queues are accepted and left to Spark's scheduler."""
+    """Options of decoding; those about threads, queues and seeking are accepted and left to Spark's scheduler and the codecs."""
 
     width: int = 0
     height: int = 0
@@ -116,35 +116,52 @@ class _Decoders:
 
 
 def decoder(options: Options, depth: dict, places: dict[str, str]):
-    """An Arrow UDF (path, key, time) -> DECODED. Within a batch each video's targets go in order of time."""
+    """An Arrow UDF (path, key, time) -> DECODED over the batches of a task, whose decoders stay open from one to the next.
+
+    Rows go in stretches of batch_size, or of as many images as max_output_bytes holds, so what a
+    worker has in memory does not grow with the batch; within a stretch each video's targets go in
+    order of time.
+    """
+    kind = pa.struct([("decoded_timestamp", pa.float64()), ("width", pa.int32()), ("height", pa.int32()), ("image", pa.binary())])
 
-    def run(paths: pa.Array, keys: pa.Array, times: pa.Array) -> pa.Array:
-        path, key, time = paths.to_pylist(), keys.to_pylist(), times.to_pylist()
+    def stretch(videos: _Decoders, path: list, key: list, time: list) -> pa.Array:
         out: list = [None] * len(path)
-        videos, last = _Decoders(options.max_cached_decoders, places), (None, None, None)
+        last: tuple = (None, None, None)
+        for i in sorted(range(len(path)), key=lambda i: (path[i] or "", time[i] or 0.0)):
+            if path[i] is None or time[i] is None:
+                continue
+            video = videos.get(path[i])
+            stamps = video.times()
+            j = nearest_index(stamps, time[i]) if len(stamps) else -1
+            if j < 0 or abs(stamps[j] - time[i]) > options.tolerance:
+                near = f" (closest decoded timestamp {stamps[j]:.6f})" if j >= 0 else ""
+                raise DatasetError(f"No frame in video '{path[i]}' matched timestamp {time[i]:.6f} within tolerance {options.tolerance:.6f}{near}")
+            if last[:2] != (path[i], j):
+                image = video.frame(j)
+                if (how := depth.get(key[i])) is not None:
+                    image = dequantize(image, how, options.depth_output_unit)
+                if options.width:
+                    image = resize(image, options.width, options.height)
+                last = (path[i], j, image)
+            image = last[2]
+            out[i] = {"decoded_timestamp": float(stamps[j]), "width": image.shape[1], "height": image.shape[0], "image": np.ascontiguousarray(image).tobytes()}
+        return pa.array(out, kind)
+
+    def run(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        videos, size = _Decoders(options.max_cached_decoders, places), 1
         try:
-            for i in sorted(range(len(path)), key=lambda i: (path[i] or "", time[i] or 0.0)):
-                if path[i] is None or time[i] is None:
-                    continue
-                video = videos.get(path[i])
-                stamps = video.times()
-                j = nearest_index(stamps, time[i]) if len(stamps) else -1
-                if j < 0 or abs(stamps[j] - time[i]) > options.tolerance:
-                    near = f" (closest decoded timestamp {stamps[j]:.6f})" if j >= 0 else ""
-                    raise DatasetError(f"No frame in video '{path[i]}' matched timestamp {time[i]:.6f} within tolerance {options.tolerance:.6f}{near}")
-                if last[:2] != (path[i], j):
-                    image = video.frame(j)
-                    if (how := depth.get(key[i])) is not None:
-                        image = dequantize(image, how, options.depth_output_unit)
-                    if options.width:
-                        image = resize(image, options.width, options.height)
-                    last = (path[i], j, image)
-                image = last[2]
-                out[i] = {"decoded_timestamp": float(stamps[j]), "width": image.shape[1], "height": image.shape[0], "image": np.ascontiguousarray(image).tobytes()}
+            for paths, keys, times in parts:
+                path, key, time = paths.to_pylist(), keys.to_pylist(), times.to_pylist()
+                at = 0
+                while at < len(path):
+                    # The first image of a task tells how many fit.
+                    to = at + max(1, min(options.batch_size, options.max_output_bytes // size if size > 1 else 1))
+                    out = stretch(videos, path[at:to], key[at:to], time[at:to])
+                    size = max(size, out.nbytes // len(out))
+                    yield out
+                    at = to
         finally:
             videos.close()
-        kind = pa.struct([("decoded_timestamp", pa.float64()), ("width", pa.int32()), ("height", pa.int32()), ("image", pa.binary())])
-        return pa.array(out, kind)
 
     return F.arrow_udf(run, DECODED)
 
@@ -174,10 +191,10 @@ def _keys(ds: Dataset, video_keys: Iterable[str] | None) -> list[str]:
     return keys
 
 
-def frames(ds: Dataset, episode_indices: Iterable[int], *, frame_indices: Iterable[int] | None = None, video_keys: Iterable[str] | None = None, refresh: bool = False, **options) -> DataFrame:
-    """Every frame of the episodes on every camera. Repeated frame rows are repeated here."""
+def frames(ds: Dataset, episode_indices: Iterable[int] | object, *, frame_indices: Iterable[int] | None = None, video_keys: Iterable[str] | None = None, refresh: bool = False, **options) -> DataFrame:
+    """Every frame of the episodes (or of ALL) on every camera. Repeated frame rows are repeated here."""
     own = Options(**options)
-    episodes = canonical(episode_indices, "episode_indices")
+    episodes = None if episode_indices is ALL else canonical(episode_indices, "episode_indices")
     chosen = None if frame_indices is None else canonical(frame_indices, "frame_indices")
     ds._fresh(refresh)
     keys = _keys(ds, video_keys)
@@ -190,7 +207,9 @@ def frames(ds: Dataset, episode_indices: Iterable[int], *, frame_indices: Iterab
         (F.col("episode_index").isNull() | F.col("frame_index").isNull() | (F.col("frame_index") < 0), "frame rows require non-NULL, non-negative indices"),
         (t.isNull() | F.isnan(t) | (F.abs(t) == math.inf) | (t < 0), text("Invalid timestamp for episode ", F.col("episode_index"), " frame ", F.col("frame_index"))),
     ))
-    routes = ds.video_route_table(keys).where(any_of(F.col("episode_index"), episodes)).drop("length")
+    routes = ds.video_route_table(keys).drop("length")
+    if episodes is not None:
+        routes = routes.where(any_of(F.col("episode_index"), episodes))
     joined = rows.join(few(ds, routes), "episode_index")
     return _located(ds, joined, own, "frame_index").select("episode_index", "frame_index", "timestamp", "video_key", "video_path", *SHOWN)
 

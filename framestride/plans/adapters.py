@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..scratch import kept
+from ..scratch import kept, ranked
 from ..sources import info as meta
 from ..sources import paths
 from ..sources.dataset import Dataset, any_of
@@ -24,9 +24,7 @@ SHARED = 50
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One frame per event (episode_index, task, action, ts, event_id): the users in order are the episodes."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    users = events.select("user_id").distinct()
-    # Ranks are given to the users, of whom there are few, not to the events.
-    users = users.withColumn("episode_index", (F.row_number().over(Window.orderBy("user_id")) - 1).cast("bigint"))
+    users = ranked(events.select("user_id").distinct(), ["user_id"], "users").withColumnRenamed("_rank", "episode_index")
     rows = events.join(users, "user_id")
     return rows.select("episode_index", F.col("event_type").alias("task"), F.col("value").alias("action"), "ts", "event_id")
 
@@ -37,6 +35,8 @@ class ViewDataset(Dataset):
 
     frames: DataFrame | None = None
     lengths: DataFrame | None = None
+    #: Their number, by which routes are broadcast or not.
+    many: int = 1
 
     @property
     def place(self) -> str:
@@ -44,7 +44,7 @@ class ViewDataset(Dataset):
 
     def meta(self) -> meta.Info:
         features = tuple(meta.Feature(k, "video", (48, 64, 3)) for k in CAMERAS)
-        return meta.Info("v3.0", "data/chunk-{chunk_index:03d}/file-{file_index:03d}.parquet", VIDEO, FPS, 1, 1, 1, (*features, meta.Feature("action", "float64", (1,))))
+        return meta.Info("v3.0", "data/chunk-{chunk_index:03d}/file-{file_index:03d}.parquet", VIDEO, FPS, self.many, 1, 1, (*features, meta.Feature("action", "float64", (1,))))
 
     def routes(self) -> DataFrame:
         zero = F.lit(0).cast("bigint")
@@ -72,7 +72,7 @@ def event_dataset(spark: SparkSession, sf_dir: str) -> tuple[ViewDataset, DataFr
     """(dataset, episodes, tasks) of the events."""
     frames, episodes, tasks = generated_columns(event_frames(spark, sf_dir), ["ts", "event_id"], kept)
     frames = frames.withColumn("timestamp", F.col("frame_index") / FPS)
-    return ViewDataset(spark, ROOT, frames=frames, lengths=episodes.select("episode_index", "length")), episodes, tasks
+    return ViewDataset(spark, ROOT, frames=frames, lengths=episodes.select("episode_index", "length"), many=episodes.count()), episodes, tasks
 
 
 def expand(template: str, number, per_chunk: int):

@@ -1,10 +1,13 @@
 """The registered queries of the episodic engine, each with the SQL that gives the same rows.
 
-Every query goes through the engine's operators, over whole tables.
+Queries run over whole tables: q02 to q23 and q33 to q35 through the operators on an episodic view of
+a table, whose episodes and routes are not files; q24 to q27 and q36 to q40 through datasets that are
+written and read as files; the others through single functions.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -145,9 +148,8 @@ def q10_window_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f'WITH {E}, {R} SELECT episode_index, frame_index, frame_index / 10.0::DOUBLE AS "timestamp", video_key, video_path, from_timestamp + frame_index / 10.0::DOUBLE AS video_timestamp FROM e JOIN v USING (episode_index)')
 def q11_video_frames_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ds, episodes, _ = adapters.event_dataset(spark, sf_dir)
-    every = [r[0] for r in episodes.select("episode_index").collect()]  # one number an episode, which the call asks for
-    return video.frames(ds, every).select("episode_index", "frame_index", "timestamp", "video_key", "video_path", "video_timestamp")
+    ds = adapters.event_dataset(spark, sf_dir)[0]
+    return video.frames(ds, video.ALL).select("episode_index", "frame_index", "timestamp", "video_key", "video_path", "video_timestamp")
 
 
 @query(f"""WITH {E}, {R}, {T} SELECT t.event_id AS request_id, video_key, delta_index, target_frame_index, video_path, from_timestamp + target_frame_index / 10.0::DOUBLE AS video_timestamp, 32 AS width, 24 AS height
@@ -206,10 +208,22 @@ def q16_episode_stats_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT count(*) AS "count", min(value) AS "min", max(value) AS "max", round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events""")
 def q17_dataset_stats_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Episode statistics folded in episode order: one small row an episode reaches the driver."""
+    """Episode statistics folded in episode order: within ranges of episodes first, so that one small row a range reaches the driver."""
     rows = adapters.event_frames(spark, sf_dir).select("episode_index", "action", F.col("event_id").alias("_order"))
-    parts = [stats.Stats(r["count"], {k: np.array([r[k]]) for k in ("min", "max", "mean", "std", *stats.QUANTILES)}) for r in _numeric_stats(rows, "episode_index", "action", "float64").orderBy("episode_index").collect()]
-    s = stats.merge_all(parts)
+    names = ["min", "max", "mean", "std", *stats.QUANTILES]
+
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, None
+        for part in parts:
+            for r in part.to_pylist():
+                own = stats.Stats(r["count"], {k: np.array([r[k]]) for k in names})
+                held, first = (own, r["episode_index"]) if held is None else (stats.merge_all([held, own]), first)
+        if held is not None:
+            yield pa.RecordBatch.from_pylist([{"episode_index": first, "count": held.count, **{k: float(held.values[k][0]) for k in names}}])
+
+    ordered = _numeric_stats(rows, "episode_index", "action", "float64").orderBy("episode_index")
+    ranges = ordered.mapInArrow(fold, "episode_index bigint, count bigint, " + ", ".join(f"{n} double" for n in names)).collect()
+    s = stats.merge_all([stats.Stats(r["count"], {k: np.array([r[k]]) for k in names}) for r in sorted(ranges, key=lambda r: r["episode_index"])])
     return spark.createDataFrame([(s.count, *(round(float(s.values[k][0]), 6) for k in ("min", "max", "mean", "std")))], "count bigint, min double, max double, mean double, std double")
 
 
@@ -247,15 +261,18 @@ def q19_vector_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_type AS task, min(event_id) + 9007199254740993 AS least, max(event_id) + 9007199254740993 AS most FROM events GROUP BY ALL""")
 def q20_integer_extrema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extrema of integers beyond the reach of doubles."""
+    """Extrema of integers beyond the reach of doubles: each batch's by the exact statistics, then the least and most of those."""
 
-    def run(table: pa.Table) -> pa.Table:
-        x = table.column("n").to_numpy()[None]
-        s = stats.episode(x, "int64", x)
-        return pa.table({"task": [table.column("task")[0].as_py()], "least": s.exact["min"], "most": s.exact["max"]})
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            task, n = part.column("task").to_numpy(zero_copy_only=False), part.column("n").to_numpy()
+            for name in dict.fromkeys(task.tolist()):
+                x = n[task == name][None]
+                s = stats.episode(x, "int64", x)
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), *(pa.array([int(s.exact[k][0])], pa.int64()) for k in ("min", "max"))], ["task", "a", "b"])
 
     rows = _table(spark, sf_dir, "events").select(F.col("event_type").alias("task"), (F.col("event_id") + 9007199254740993).alias("n"))
-    return rows.groupBy("task").applyInArrow(run, "task string, least bigint, most bigint")
+    return rows.mapInArrow(run, "task string, a bigint, b bigint").groupBy("task").agg(F.min("a").alias("least"), F.max("b").alias("most"))
 
 
 @query(f"""WITH {E}, c AS (SELECT episode_index, length, greatest(least(100, length), least(CAST(floor(pow(length, 0.75)) AS BIGINT), 10000)) AS m FROM n)
@@ -410,3 +427,71 @@ def q35_target_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     ds = adapters.event_dataset(spark, sf_dir)[0]
     found = temporal.targets(ds, _requests(ds, 1))
     return found.agg(F.count("*").alias("rows"), F.count_distinct("target_ordinal").alias("ordinals"), F.min("target_ordinal").alias("least"), F.max("target_ordinal").alias("most"))
+
+
+@query(f"""WITH {E} SELECT 10::BIGINT AS fps, (SELECT count(*) FROM n) AS total_episodes, (SELECT count(*) FROM e) AS total_frames, (SELECT count(*) FROM k) AS total_tasks, 'v3.0' AS version, 'float64' AS action, [2]::BIGINT[] AS pair""")
+def q36_info_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The info document of a written dataset, as a relation."""
+    found = _written(spark, sf_dir).info()
+    total = [F.col(c).cast("bigint").alias(c) for c in ("fps", "total_episodes", "total_frames", "total_tasks")]
+    return found.select(*total, F.col("codebase_version").alias("version"), F.col("features.action.dtype").alias("action"), F.col("features.pair.shape").alias("pair"))
+
+
+@query(f"WITH {E} SELECT task_index, task FROM k")
+def q37_tasks_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tasks of a written dataset, read from its own file."""
+    return _written(spark, sf_dir).tasks()
+
+
+@query(f"WITH {E} SELECT episode_index, frame_index, action, true AS in_its_file, true AS no_other_file FROM e WHERE episode_index IN (5, 3, 1)")
+def q38_pruned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of some episodes, from the files that hold them and no others."""
+    ds = _written(spark, sf_dir)
+    found = ds.scan(EPISODES, filename=True)
+    home = ds.routes().where(F.col("episode_index").isin(EPISODES)).select("episode_index", F.format_string("%s/data/chunk-%03d/file-%03d.parquet", F.lit(ds.place), "chunk_index", "file_index").alias("home"))
+    needed = {r["home"] for r in home.select("home").distinct().collect()}  # of five episodes at most
+    read = {f.removeprefix("file://") for f in found.inputFiles()}
+    return found.join(F.broadcast(home), "episode_index").select("episode_index", "frame_index", "action", (F.col("filename") == F.col("home")).alias("in_its_file"), F.lit(read == needed).alias("no_other_file"))
+
+
+def _files(spark: SparkSession, root: str, tables: dict[str, DataFrame], info: dict) -> Dataset:
+    """A dataset of one Parquet file for each of some tables, by path below a new root."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    fs = path("x").getFileSystem(conf)
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{root}/parts/{name}")
+        made = [f.getPath() for f in fs.listStatus(path(f"parts/{name}")) if f.getPath().getName().endswith(".parquet")]
+        fs.mkdirs(path(name).getParent())
+        fs.rename(made[0], path(name))
+    fs.mkdirs(path("meta"))
+    out = fs.create(path("meta/info.json"))
+    out.write(bytearray(json.dumps(info).encode()))
+    out.close()
+    return Dataset(spark, root.removeprefix("file://"))
+
+
+@query("SELECT 0::BIGINT AS episode_index, n_nationkey::BIGINT AS key, n_name AS name, n_regionkey::BIGINT AS region, n_nationkey::BIGINT AS place FROM nation UNION ALL SELECT 1, r_regionkey, r_name, NULL, r_regionkey FROM region")
+def q39_scan_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset whose second file lacks a column and has the others in another order."""
+    whole = lambda c, name: F.col(c).cast("bigint").alias(name)
+    nation = _table(spark, sf_dir, "nation").orderBy("n_nationkey").select(F.lit(0).cast("bigint").alias("episode_index"), whole("n_nationkey", "key"), F.col("n_name").alias("name"), whole("n_regionkey", "region"))
+    region = _table(spark, sf_dir, "region").orderBy("r_regionkey").select(F.col("r_name").alias("name"), whole("r_regionkey", "key"), F.lit(1).cast("bigint").alias("episode_index"))
+    sizes = [nation.count(), region.count()]
+    episodes = spark.createDataFrame([(i, n, 0, i) for i, n in enumerate(sizes)], "episode_index bigint, length bigint, `data/chunk_index` bigint, `data/file_index` bigint")
+    info = {"codebase_version": "v3.0", "data_path": "data/{chunk_index}-{file_index}.parquet", "video_path": None, "fps": 1, "total_episodes": 2, "total_frames": sum(sizes), "total_tasks": 0, "features": {}}
+    ds = _files(spark, folder(spark, "by-name"), {"data/0-0.parquet": nation, "data/0-1.parquet": region, "meta/episodes/e.parquet": episodes}, info)
+    return ds.scan(union_by_name=True, file_row_number=True).select("episode_index", "key", "name", "region", F.col("file_row_number").alias("place"))
+
+
+@query(f"""WITH {E} SELECT episode_index, frame_index, video_key, upper(substr(md5(concat(event_id, '/', video_key)), 1, 24)) AS pixels, 2 AS width, 2 AS height, 3 AS channels FROM e, (VALUES ('front'), ('wrist')) c(video_key)""")
+def q40_video_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 2 x 2 made-up pixels on two cameras, written as videos without compression, and decoded from them."""
+    root = folder(spark, "films").removeprefix("file://")
+    shown = lambda key: F.unhex(F.substring(F.md5(F.concat(F.col("event_id").cast("string"), F.lit(f"/{key}"))), 1, 24)).alias(key)
+    rows = adapters.event_frames(spark, sf_dir).select("episode_index", "task", "ts", "event_id", *map(shown, adapters.CAMERAS))
+    features = {key: {"dtype": "video", "shape": [2, 2, 3]} for key in adapters.CAMERAS}
+    rows = rows.withColumn("event", F.col("event_id")).drop("event_id")
+    writer.write_dataset(rows, root, fps=adapters.FPS, features=features | {"event": {"dtype": "int64", "shape": [1]}}, order_by=["ts", "event"], rgb_codec="plain", suffix=".raw", video_files_size_in_mb=0.05)
+    found = video.frames(Dataset(spark, root), video.ALL, max_output_bytes=1 << 16, batch_size=512)
+    return found.select("episode_index", "frame_index", "video_key", F.hex("image").alias("pixels"), "width", "height", "channels")

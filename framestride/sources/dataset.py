@@ -12,11 +12,12 @@ import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DatasetError
+from ..scratch import ranked
 from . import info as meta
 from . import paths
 
@@ -218,8 +219,7 @@ class Dataset:
         if not self.meta().episodes:
             return self.spark.createDataFrame([], STATS)
         told = self.spark.read.option("wholetext", True).text(f"{self.place}/meta/stats.json")
-        told.createOrReplaceTempView(name := f"stats_{abs(hash(self.place))}")
-        return self.spark.sql(f"SELECT v.key AS feature, to_json(v.value) AS stats FROM {name}, LATERAL variant_explode(parse_json(value)) v")
+        return self.spark.sql("SELECT v.key AS feature, to_json(v.value) AS stats FROM {told}, LATERAL variant_explode(parse_json(value)) v", told=told)
 
     # Routes
 
@@ -375,7 +375,7 @@ class Dataset:
 def first_seen(df: DataFrame, value: str, order: list[str]) -> DataFrame:
     """(index, value) of each distinct value, numbered from 0 by where it first comes."""
     at = df.groupBy(value).agg(F.min(F.struct(*order)).alias("at"))
-    return at.select((F.row_number().over(Window.orderBy("at")) - 1).cast("bigint").alias("task_index"), F.col(value).alias("task"))
+    return ranked(at, ["at"], "first-seen").select(F.col("_rank").alias("task_index"), F.col(value).alias("task"))
 
 
 def stats_json(stats: dict) -> str:

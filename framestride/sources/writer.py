@@ -30,7 +30,7 @@ from ..functions.images import encode_raw
 from ..functions.pixels import raw_type, sample_frames, sample_stride
 from ..operators import codecs
 from ..operators import stats as exact
-from ..scratch import kept
+from ..scratch import kept, ranked
 from . import info as meta
 from .dataset import col, first_seen
 
@@ -388,8 +388,7 @@ def generated_columns(rows: DataFrame, order: list[str], keep: Callable[[DataFra
     within = F.row_number().over(Window.partitionBy("episode_index").orderBy(*order)) - 1
     rows = rows.withColumn("frame_index", within.cast("bigint"))
     episodes = rows.groupBy("episode_index").agg(F.count("*").alias("length"))
-    before = F.sum("length").over(Window.orderBy("episode_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length")
-    episodes = keep(episodes.withColumn("dataset_from_index", before.cast("bigint")), "episodes")
+    episodes = keep(ranked(episodes, ["episode_index"], "episode-lengths", "length").withColumn("dataset_from_index", F.col("_before")).drop("_rank", "_before"), "episodes")
     tasks = keep(first_seen(rows.groupBy("task").agg(F.min(F.struct("episode_index", "frame_index")).alias("at")), "task", ["at"]), "tasks")
     rows = rows.join(episodes.select("episode_index", "dataset_from_index"), "episode_index").join(tasks, "task")
     return rows.withColumn("index", F.col("dataset_from_index") + F.col("frame_index")).drop("dataset_from_index"), episodes, tasks
