@@ -28,12 +28,21 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one task numbers.
+ONE = 100_000
+
+
 def ranked(df: DataFrame, order: list, name: str, add: str | None = None) -> DataFrame:
     """df as a table with _rank, its place in an order from 0, and, with add, _before: the sum of that column over all earlier rows.
 
-    Rows are sorted in ranges and numbered within them, so no task sees them all; the driver gets one
-    row a range.
+    Beyond ONE rows they are sorted in ranges and numbered within them, so no task sees them all; the
+    driver gets one row a range.
     """
+    df = kept(df, name)
+    if df.count() <= ONE:
+        place = Window.orderBy(*order)
+        out = df.withColumn("_rank", (F.row_number().over(place) - 1).cast("bigint"))
+        return out.withColumn("_before", (F.sum(add).over(place.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(add)).cast("bigint")) if add else out
     spot = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     table = kept(df.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), spot.alias("_spot")), name)
     total = F.sum(add).cast("bigint") if add else F.lit(0).cast("bigint")

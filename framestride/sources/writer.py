@@ -14,7 +14,7 @@ import os
 import pickle
 import shutil
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +30,7 @@ from ..functions.images import encode_raw
 from ..functions.pixels import raw_type, sample_frames, sample_stride
 from ..operators import codecs
 from ..operators import stats as exact
-from ..scratch import kept, ranked
+from ..scratch import ranked
 from . import info as meta
 from .dataset import col, first_seen
 
@@ -380,7 +380,7 @@ def segment_plan(sizes: list[int], limit: float) -> list[int]:
     return out
 
 
-def generated_columns(rows: DataFrame, order: list[str], keep: Callable[[DataFrame, str], DataFrame] = kept) -> tuple[DataFrame, DataFrame, DataFrame]:
+def generated_columns(rows: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(frames with frame_index, index and task_index, episodes with length and first index, tasks).
 
     The episodes (one row each) and the tasks are kept as tables, which all that follows reads.
@@ -388,8 +388,8 @@ def generated_columns(rows: DataFrame, order: list[str], keep: Callable[[DataFra
     within = F.row_number().over(Window.partitionBy("episode_index").orderBy(*order)) - 1
     rows = rows.withColumn("frame_index", within.cast("bigint"))
     episodes = rows.groupBy("episode_index").agg(F.count("*").alias("length"))
-    episodes = keep(ranked(episodes, ["episode_index"], "episode-lengths", "length").withColumn("dataset_from_index", F.col("_before")).drop("_rank", "_before"), "episodes")
-    tasks = keep(first_seen(rows.groupBy("task").agg(F.min(F.struct("episode_index", "frame_index")).alias("at")), "task", ["at"]), "tasks")
+    episodes = ranked(episodes, ["episode_index"], "episodes", "length").withColumn("dataset_from_index", F.col("_before")).drop("_rank", "_before")
+    tasks = first_seen(rows.groupBy("task").agg(F.min(F.struct("episode_index", "frame_index")).alias("at")), "task", ["at"])
     rows = rows.join(episodes.select("episode_index", "dataset_from_index"), "episode_index").join(tasks, "task")
     return rows.withColumn("index", F.col("dataset_from_index") + F.col("frame_index")).drop("dataset_from_index"), episodes, tasks
 
