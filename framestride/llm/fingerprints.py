@@ -158,7 +158,9 @@ def neighbours(docs: DataFrame) -> DataFrame:
     if not count:
         return spark.createDataFrame([], schema)
     ranked = base.select(_rank(docs).alias("r"), F.xxhash64("text").alias("h"), "doc_id", "text")
-    edges = _edges(ranked, max(1, min(count, -(-size // RUN))), dict(docs.dtypes)["doc_id"] != "string")
+    # As many runs as their size asks for, and on small tables as there are tasks to be had.
+    runs = max(-(-size // RUN), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BATCH)))
+    edges = _edges(ranked, max(1, min(count, runs)), dict(docs.dtypes)["doc_id"] != "string")
     run = _numbered(edges)(F.col("r"), F.col("h")) if edges else F.lit(0)
     dealt = ranked.select("r", "h", "doc_id", "text", run.alias("run"), F.lit(False).alias("guest"))
     # The first row of each run is also the guest at the end of the run above it.
