@@ -25,12 +25,12 @@ THRESHOLD = 0.8
 #: Pairs whose signatures agree in fewer registers are not verified: five standard errors below 0.8.
 LEAST_AGREED = int(REGISTERS * THRESHOLD - 5 * (REGISTERS * THRESHOLD * (1 - THRESHOLD)) ** 0.5)
 #: Followers that meet one copy of their leader's text, about.
-RUN = 512
+RUN = 128
 #: Registers of the sharper signature by which the rest of a bucket is compared, and its least agreement
 #: (four standard errors below 0.8).
 SHARP, LEAST_SHARP = 1024, 768
 #: Texts (and their characters) that are held in memory as a stretch of the bucket streams past, and texts of a stretch.
-BLOCK, HELD, STRETCH = 512, 16 << 20, 1024
+BLOCK, HELD, STRETCH = 256, 16 << 20, 512
 #: Bytes of weighted shingles that a worker remembers in comparing.
 REMEMBER = 32 << 20
 
