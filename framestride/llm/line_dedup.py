@@ -30,7 +30,7 @@ from . import shared, shingles
 #: Words that a pair must share for anything to be deleted, and words of a line that is a key, or of a block that is deleted.
 LEAST, LINE = 50, 8
 #: Followers that meet one copy of their leader's lines, about.
-RUN = 512
+RUN = 128
 #: Levels of gaps within gaps that anchors of unique lines are sought in, and alignments of what is left of a pair.
 DEEP, ROUNDS = 16, 8
 
