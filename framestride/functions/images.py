@@ -69,7 +69,7 @@ def _unfilter(raw: np.ndarray, height: int, line: int, step: int) -> np.ndarray:
     if len(raw) < height * (line + 1):
         raise DatasetError("PNG image data is truncated")
     raw = raw[: height * (line + 1)].reshape(height, line + 1)
-    if np.isin(raw[:, 0], (3, 4)).any():
+    if height and raw[:, 0].max() > 2:
         return _unfilter_diagonals(raw, height, line // step, step)
     out, above = np.zeros((height, line), np.uint8), np.zeros(line, np.uint8)
     for y in range(height):
@@ -78,11 +78,9 @@ def _unfilter(raw: np.ndarray, height: int, line: int, step: int) -> np.ndarray:
             out[y] = row
         elif kind == 2:
             out[y] = row + above
-        elif kind == 1:
+        else:
             for k in range(min(step, line)):
                 out[y, k::step] = np.cumsum(row[k::step], dtype=np.uint64).astype(np.uint8)
-        else:
-            raise DatasetError("PNG image has an unknown row filter")
         above = out[y]
     return out
 
