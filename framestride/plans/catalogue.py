@@ -301,9 +301,8 @@ def q22_generated_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 ) SELECT episode_index, shard FROM w""")
 def q23_shard_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Data shards of 50 kB for episodes of 100 bytes a frame."""
-    rows = adapters.event_dataset(spark, sf_dir)[1].orderBy("episode_index").collect()  # one row an episode, as the writer has them
-    plan = writer.shard_plan([r["length"] * 100 for r in rows], [r["length"] for r in rows], 50_000.0)
-    return spark.createDataFrame([(r["episode_index"], s) for r, s in zip(rows, plan, strict=True)], "episode_index bigint, shard bigint")
+    episodes = adapters.event_dataset(spark, sf_dir)[1]
+    return writer.planned_shards(episodes.select("episode_index", "length", (F.col("length") * 100).alias("bytes")), 50_000.0)
 
 
 def _written(spark: SparkSession, sf_dir: str) -> Dataset:

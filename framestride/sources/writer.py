@@ -1,9 +1,10 @@
 """Writing a dataset: generated columns, exact statistics, shards and metadata, published by one rename.
 
 Frames get their generated columns from window and join expressions. One Arrow pass computes each
-episode's statistics and encoded size; the driver, which then holds one small row an episode, plans
-the shards and merges the statistics in episode order; a second pass writes each shard in a task of
-its own. An episode must fit a worker's memory, as must a video shard.
+episode's statistics and encoded size into a table; a task that reads its small columns in episode
+order plans the shards, and a task a feature merges its statistics in that order. A second pass
+writes the shards, each in one task, and another the files of episode metadata. The driver gets one
+row a feature. An episode must fit a worker's memory, as must a video shard.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +32,7 @@ from ..functions.images import encode_raw
 from ..functions.pixels import raw_type, sample_frames, sample_stride
 from ..operators import codecs
 from ..operators import stats as exact
-from ..scratch import ranked
+from ..scratch import kept, ranked
 from . import info as meta
 from .dataset import col, first_seen
 
@@ -47,6 +49,11 @@ _ARROW = {
     "uint8": pa.uint8(), "uint16": pa.uint16(), "uint32": pa.uint32(), "uint64": pa.uint64(), "bool": pa.bool_(), "string": pa.string(),
 }
 IMAGE = pa.struct([("bytes", pa.binary()), ("path", pa.string())])
+VALUES = ("min", "max", "mean", "std", *exact.QUANTILES)
+#: What is measured of an episode: bytes of its frames in Parquet, its tasks as they come, the raw types of visual features, the bytes of videos, the statistics of features.
+MEASURED = pa.schema([("episode_index", pa.int64()), ("bytes", pa.int64()), ("tasks", pa.list_(pa.int64())), ("kinds", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())), ("stats", pa.list_(pa.binary()))])
+#: Stored bytes of a task that writes shards, about, if these are no larger; and rows of a row group of tasks.
+TASK_BYTES, TASK_ROWS = 32 << 20, 100_000
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -295,15 +302,31 @@ def _runs(parts: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.T
         yield now, pa.Table.from_batches(held)
 
 
+def _packed(s: exact.Stats) -> bytes:
+    return pickle.dumps((s.count, np.stack([s.values[k] for k in VALUES]).tobytes(), s.exact, s.single))
+
+
+def _unpacked(told: bytes) -> exact.Stats:
+    count, values, whole, single = pickle.loads(told)
+    return exact.Stats(count, dict(zip(VALUES, np.frombuffer(values).reshape(len(VALUES), -1), strict=True)), whole, single)
+
+
 def _measure(features: list[meta.Feature], options: Options):
+    visual = [f.name for f in features if f.visual]
+    every, videos = [f.name for f in [*features, *_generated()]], [f.name for f in features if f.dtype == "video"]
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = _frame_schema(features)
         for episode, table in _runs(parts, "episode_index"):
-            got = _episode_stats(table, features, options)
+            found, raw, size = _episode_stats(table, features, options)
             sink = pa.BufferOutputStream()
             with pq.ParquetWriter(sink, schema, compression="snappy") as w:
                 w.write_table(_stored(table, features, options.fps, schema))
-            yield pa.RecordBatch.from_arrays([pa.array([episode], pa.int64()), pa.array([sink.getvalue().size], pa.int64()), pa.array([pickle.dumps(got)], pa.binary())], ["episode_index", "bytes", "stats"])
+            row = {
+                "episode_index": episode, "bytes": sink.getvalue().size, "tasks": pc.unique(table.column("task_index")).to_pylist(), "kinds": [raw[n] for n in visual], "sizes": [size[n] for n in videos],
+                "stats": [_packed(found[n]) if n in found else None for n in every],
+            }
+            yield pa.RecordBatch.from_pylist([row], MEASURED)
 
     return run
 
@@ -358,26 +381,77 @@ def _place(template: str, number: int, per_chunk: int, key: str = "") -> str:
     return expand(template, number // per_chunk, number % per_chunk, key)
 
 
+class ShardPlan:
+    """The data shard of each episode, told one by one: a new one once the open one would pass the limit with the episode's share."""
+
+    def __init__(self, limit: float):
+        self.limit, self.now, self.size, self.frames = limit, 0, 0, 0
+
+    def add(self, size: int, n: int) -> int:
+        if self.frames and self.size >= self.limit / (1.0 + n / self.frames):
+            self.now, self.size, self.frames = self.now + 1, 0, 0
+        self.size, self.frames = self.size + size, self.frames + n
+        return self.now
+
+
+class SegmentPlan:
+    """The video shard of each episode, told one by one: a new one where the sum would reach the limit."""
+
+    def __init__(self, limit: float):
+        self.limit, self.now, self.size, self.first = limit, 0, 0, True
+
+    def add(self, size: int) -> int:
+        if not self.first and self.size + size >= self.limit:
+            self.now, self.size = self.now + 1, 0
+        self.size, self.first = self.size + size, False
+        return self.now
+
+
 def shard_plan(sizes: list[int], lengths: list[int], limit: float) -> list[int]:
-    """The data shard of each episode: a new one once the open one would pass the limit with the episode's share."""
-    out, now, size, frames = [], 0, 0, 0
-    for bytes_, n in zip(sizes, lengths, strict=True):
-        if frames and size >= limit / (1.0 + n / frames):
-            now, size, frames = now + 1, 0, 0
-        out.append(now)
-        size, frames = size + bytes_, frames + n
-    return out
+    """The data shard of each episode."""
+    plan = ShardPlan(limit)
+    return [plan.add(bytes_, n) for bytes_, n in zip(sizes, lengths, strict=True)]
 
 
 def segment_plan(sizes: list[int], limit: float) -> list[int]:
-    """The video shard of each episode: a new one where the sum would reach the limit."""
-    out, now, size = [], 0, 0
-    for i, bytes_ in enumerate(sizes):
-        if i and size + bytes_ >= limit:
-            now, size = now + 1, 0
-        out.append(now)
-        size += bytes_
-    return out
+    """The video shard of each episode."""
+    plan = SegmentPlan(limit)
+    return [plan.add(bytes_) for bytes_ in sizes]
+
+
+def planned_shards(sized: DataFrame, limit: float) -> DataFrame:
+    """(episode_index, shard) of sized (episode_index, bytes, length): one task takes them in order and holds a batch."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = ShardPlan(limit)
+        for part in parts:
+            shards = [plan.add(b, n) for b, n in zip(part.column("bytes").to_pylist(), part.column("length").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("episode_index"), pa.array(shards, pa.int64())], ["episode_index", "shard"])
+
+    return _in_order(sized.select("episode_index", "bytes", "length")).mapInArrow(run, "episode_index bigint, shard bigint")
+
+
+def _in_order(df: DataFrame, by: str = "episode_index") -> DataFrame:
+    return df.repartition(1).sortWithinPartitions(by)
+
+
+def _planned_segments(sized: DataFrame, n: int, limit: float) -> DataFrame:
+    """(episode_index, segments, begins: of each of n videos) of sized (episode_index, sizes, length); begins count frames of the shard before."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plans, now, begin = [SegmentPlan(limit) for _ in range(n)], [0] * n, [0] * n
+        for part in parts:
+            segments, begins = [], []
+            for sizes, length in zip(part.column("sizes").to_pylist(), part.column("length").to_pylist(), strict=True):
+                got = [p.add(b) for p, b in zip(plans, sizes, strict=True)]
+                begin = [b if s == t else 0 for b, s, t in zip(begin, got, now, strict=True)]
+                segments.append(got)
+                begins.append(begin)
+                now, begin = got, [b + length for b in begin]
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("episode_index"), pa.array(segments, kind), pa.array(begins, kind)], ["episode_index", "segments", "begins"])
+
+    return _in_order(sized.select("episode_index", "sizes", "length")).mapInArrow(run, "episode_index bigint, segments array<bigint>, begins array<bigint>")
 
 
 def generated_columns(rows: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -435,66 +509,86 @@ def _codec_or_error(videos: list[meta.Feature], own: Options) -> None:
     codecs.codec_for("x.mp4")
 
 
+def _tasks(spark: SparkSession, pieces: int, bytes_: int) -> int:
+    """Tasks that write some pieces of so many bytes in all: not one a piece, since these may be small."""
+    return max(1, min(pieces, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-bytes_ // TASK_BYTES))))
+
+
 def _write(spark, rows: DataFrame, listed, videos, order, own: Options, staging: str, n_episodes: int) -> dict:
     raw: dict[str, str] = {}
-    totals, n_frames, tasks = {}, 0, []
+    n_frames, n_tasks = 0, 0
     if n_episodes:
         frames, episodes, task_table = generated_columns(rows, order)
-        names = [f.name for f in listed]
-        lengths = {r["episode_index"]: (r["length"], r["dataset_from_index"]) for r in episodes.collect()}  # one row an episode
-        tasks = [r["task"] for r in task_table.orderBy("task_index").collect()]
-        seen = frames.groupBy("episode_index", "task").agg(F.min("frame_index").alias("at"))
-        of = {r["episode_index"]: [t["task"] for t in r["tasks"]] for r in seen.groupBy("episode_index").agg(F.array_sort(F.collect_list(F.struct("at", "task"))).alias("tasks")).collect()}
-        columns = [*(col(n) for n in names), "frame_index", "episode_index", "index", "task_index"]
+        every = [*listed, *_generated()]
+        columns = [*(col(f.name) for f in listed), "frame_index", "episode_index", "index", "task_index"]
         dealt = frames.select(*columns).repartition("episode_index").sortWithinPartitions("episode_index", "frame_index")
-        measured = {r["episode_index"]: r for r in dealt.mapInArrow(_measure(listed, own), "episode_index bigint, bytes bigint, stats binary").collect()}
-        order_ = range(n_episodes)
-        stats = [pickle.loads(bytes(measured[e]["stats"])) for e in order_]
-        for f in listed:
-            kinds = {s[1][f.name] for s in stats if f.name in s[1]}
+        measured = kept(dealt.mapInArrow(_measure(listed, own), "episode_index bigint, bytes bigint, tasks array<bigint>, kinds array<string>, sizes array<bigint>, stats array<binary>"), "measured")
+        for i, f in enumerate(f for f in listed if f.visual):
+            kinds = [r[0] for r in measured.select(F.get("kinds", F.lit(i))).distinct().limit(2).collect()]
             if len(kinds) > 1:
                 raise DatasetError(f"feature '{f.name}' changes raw dtype within the dataset")
-            raw |= {f.name: k for k in kinds}
-        shards = shard_plan([measured[e]["bytes"] for e in order_], [lengths[e][0] for e in order_], own.data_files_size_in_mb * 1024 * 1024)
-        plan = spark.createDataFrame([(e, s) for e, s in zip(order_, shards, strict=True)], "episode_index bigint, _shard bigint")
-        placed = frames.select(*columns).join(plan, "episode_index").repartition(shards[-1] + 1, "_shard").sortWithinPartitions("_shard", "episode_index", "frame_index")
-        wrote = placed.mapInArrow(_write_data(listed, own, staging), "path string, n bigint").collect()
-        if sum(r["n"] for r in wrote) != sum(v[0] for v in lengths.values()):
+            raw[f.name] = kinds[0]
+        sized = measured.select("episode_index", "bytes", "sizes").join(episodes, "episode_index")
+        plan = kept(planned_shards(sized, own.data_files_size_in_mb * 1024 * 1024).withColumnRenamed("shard", "_shard"), "shards")
+        n_shards = plan.agg(F.max("_shard")).first()[0] + 1
+        size, n_frames = sized.agg(F.sum("bytes"), F.sum("length")).first()
+        placed = frames.select(*columns).join(plan, "episode_index").repartition(_tasks(spark, n_shards, size), "_shard").sortWithinPartitions("_shard", "episode_index", "frame_index")
+        wrote = placed.mapInArrow(_write_data(listed, own, staging), "path string, n bigint").agg(F.sum("n"), F.count("*")).first()
+        if tuple(wrote) != (n_frames, n_shards):
             raise DatasetError("a data shard was not written in full")
-        routes = {}
-        for f in videos:
-            segments = segment_plan([s[2][f.name] for s in stats], own.video_files_size_in_mb * 1024 * 1024)
-            plan = spark.createDataFrame([(e, s) for e, s in zip(order_, segments, strict=True)], "episode_index bigint, _shard bigint")
-            cut = frames.select("episode_index", "frame_index", col(f.name)).join(plan, "episode_index").repartition("_shard").sortWithinPartitions("_shard", "episode_index", "frame_index")
-            cut.mapInArrow(_write_video(f, own, staging, codecs.known()), "path string, n bigint").collect()
-            at: dict[int, int] = {}
-            for e, s in zip(order_, segments, strict=True):
-                begin = at.get(s, 0)
-                at[s] = begin + lengths[e][0]
-                routes[(e, f.name)] = (s, begin / own.fps, at[s] / own.fps)
-        every = [*listed, *_generated()]
-        entries = []
-        for e in order_:
-            entry = {"episode_index": e, "tasks": of[e], "length": lengths[e][0], "data/chunk_index": shards[e] // own.chunks_size, "data/file_index": shards[e] % own.chunks_size, "dataset_from_index": lengths[e][1], "dataset_to_index": lengths[e][1] + lengths[e][0]}
-            for f in videos:
-                s, begin, end = routes[(e, f.name)]
-                entry |= {f"videos/{f.name}/chunk_index": s // own.chunks_size, f"videos/{f.name}/file_index": s % own.chunks_size, f"videos/{f.name}/from_timestamp": begin, f"videos/{f.name}/to_timestamp": end}
-            for f in every:
-                if f.name in stats[e][0]:
-                    entry |= {f"stats/{f.name}/{k}": v for k, v in stats_dict(stats[e][0][f.name], f).items()}
-            entries.append(entry)
-        _write_episodes(entries, every, own, staging)
-        totals = {f.name: stats_dict(exact.merge_all([s[0][f.name] for s in stats]), f) for f in every if f.name in stats[0][0]}
-        n_frames = sum(v[0] for v in lengths.values())
-        _write_tasks(tasks, staging)
+        entries = sized.select("episode_index", "length", "dataset_from_index").join(plan, "episode_index").join(_task_names(measured, task_table), "episode_index")
+        if videos:
+            segments = kept(_planned_segments(sized, len(videos), own.video_files_size_in_mb * 1024 * 1024), "segments")
+            entries = entries.join(segments, "episode_index")
+        for i, f in enumerate(videos):
+            at = segments.select("episode_index", F.get("segments", F.lit(i)).alias("_shard"))
+            n, size = at.agg(F.max("_shard")).first()[0] + 1, sized.agg(F.sum(F.get("sizes", F.lit(i)))).first()[0]
+            cut = frames.select("episode_index", "frame_index", col(f.name)).join(at, "episode_index").repartition(_tasks(spark, n, size), "_shard").sortWithinPartitions("_shard", "episode_index", "frame_index")
+            wrote = cut.mapInArrow(_write_video(f, own, staging, codecs.known()), "path string, n bigint").agg(F.sum("n"), F.count("*")).first()
+            if tuple(wrote) != (n_frames, n):
+                raise DatasetError("a video shard was not written in full")
+        _write_episodes(spark, entries.join(measured.select("episode_index", "stats"), "episode_index"), listed, videos, own, staging)
+        n_tasks = _in_order(task_table, "task_index").mapInArrow(_write_tasks(staging), "n bigint").agg(F.sum("n")).first()[0]
         with open(f"{staging}/meta/stats.json", "w", encoding="utf-8") as out:
-            out.write(_json(totals))
-    told = _info(listed, own, raw, n_episodes, n_frames, len(tasks))
+            out.write(_json(_totals(measured, every)))
+    told = _info(listed, own, raw, n_episodes, n_frames, n_tasks)
     with open(f"{staging}/meta/info.json", "w", encoding="utf-8") as out:
         json.dump(told, out, allow_nan=False, ensure_ascii=False)
     return told
 
 
+def _task_names(measured: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(episode_index, names: of its tasks, as they come)."""
+    each = measured.select("episode_index", F.posexplode("tasks").alias("at", "task_index")).join(tasks, "task_index")
+    return each.groupBy("episode_index").agg(F.array_sort(F.collect_list(F.struct("at", "task"))).alias("names")).select("episode_index", F.col("names.task").alias("names"))
+
+
+def _totals(measured: DataFrame, every: list[meta.Feature]) -> dict:
+    """The statistics of all episodes: a task a feature merges them one by one in their order; the driver gets a row a feature."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, first = None, None, True
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([_packed(held)], pa.binary())], ["f", "s"])
+
+        for part in parts:
+            for f, s in zip(part.column("f").to_pylist(), part.column("s").to_pylist(), strict=True):
+                own = _unpacked(s)
+                if f == now:
+                    held, first = exact.merge(held, own, first), False
+                    continue
+                if held is not None:
+                    yield told()
+                now, held, first = f, own, True
+        if held is not None:
+            yield told()
+
+    each = measured.select("episode_index", F.posexplode("stats").alias("f", "s")).where("s is not null")
+    merged = each.repartition(len(every), "f").sortWithinPartitions("f", "episode_index").mapInArrow(run, "f int, s binary").collect()
+    return {every[r["f"]].name: stats_dict(_unpacked(bytes(r["s"])), every[r["f"]]) for r in sorted(merged, key=lambda r: r["f"])}
+
+
 def _json(totals: dict) -> str:
     try:
         return json.dumps(totals, allow_nan=False, ensure_ascii=False)
@@ -508,38 +602,98 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "decimal(20,0)": pa.uint64()}[kind.simpleString()]
 
 
-def _write_episodes(entries: list[dict], features: list[meta.Feature], own: Options, staging: str) -> None:
-    """Episode metadata in files that are rotated as data files are, a row group each flush of the buffer."""
-    schema = pa.schema([(f.name, _arrow(f.dataType)) for f in meta.episode_schema(features)])
-    limit, number, writer, path, begin = own.data_files_size_in_mb * 1024 * 1024, 0, None, "", 0
-    buffer: list[dict] = []
+PLACE = ("meta/episodes/chunk_index", "meta/episodes/file_index")
 
-    def flush() -> None:
-        nonlocal writer, path
-        if not buffer:
-            return
-        if writer is None:
-            path = os.path.join(staging, _place(EPISODE_PATH, number, own.chunks_size))
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            writer = pq.ParquetWriter(path, schema, compression="snappy")
-        writer.write_table(pa.Table.from_pylist(buffer, schema))
-        buffer.clear()
-
-    for i, entry in enumerate(entries):
-        if writer is not None and not buffer and i > begin:
-            size = os.path.getsize(path)
-            if size >= limit / (1.0 + 1.0 / (i - begin)):
-                writer.close()
-                writer, number, begin = None, number + 1, i
-        buffer.append(entry | {"meta/episodes/chunk_index": number // own.chunks_size, "meta/episodes/file_index": number % own.chunks_size})
-        if len(buffer) >= own.metadata_buffer_size:
-            flush()
-    flush()
-    if writer is not None:
-        writer.close()
-
-
-def _write_tasks(tasks: list[str], staging: str) -> None:
+
+def _entries(part: pa.RecordBatch, features: list[meta.Feature], videos: list[meta.Feature], own: Options) -> list[dict]:
+    """Rows of episode metadata, but for the place of their own file."""
+    every, out = [*features, *_generated()], []
+    for r in part.to_pylist():
+        shard, begin = r["_shard"], r["dataset_from_index"]
+        entry = {"episode_index": r["episode_index"], "tasks": r["names"], "length": r["length"], "data/chunk_index": shard // own.chunks_size, "data/file_index": shard % own.chunks_size, "dataset_from_index": begin, "dataset_to_index": begin + r["length"]}
+        for i, f in enumerate(videos):
+            s, at = r["segments"][i], r["begins"][i]
+            entry |= {f"videos/{f.name}/chunk_index": s // own.chunks_size, f"videos/{f.name}/file_index": s % own.chunks_size, f"videos/{f.name}/from_timestamp": at / own.fps, f"videos/{f.name}/to_timestamp": (at + r["length"]) / own.fps}
+        for f, s in zip(every, r["stats"], strict=True):
+            if s is not None:
+                entry |= {f"stats/{f.name}/{k}": v for k, v in stats_dict(_unpacked(s), f).items()}
+        out.append(entry)
+    return out
+
+
+def _group_bytes(rows: list[dict], schema: pa.Schema) -> int:
+    """What a row group adds to a file."""
+    sink = pa.BufferOutputStream()
+    with pq.ParquetWriter(sink, schema, compression="snappy") as w:
+        before = sink.tell()
+        w.write_table(pa.Table.from_pylist(rows, schema))
+        return sink.tell() - before
+
+
+def _write_episodes(spark: SparkSession, rows: DataFrame, features: list[meta.Feature], videos: list[meta.Feature], own: Options, staging: str) -> None:
+    """Episode metadata in files that are rotated as data files are, a row group each flush of the buffer.
+
+    The row groups are measured in parallel, one task deals them to files in their order, and the
+    files are written in parallel.
+    """
+    schema = pa.schema([(f.name, _arrow(f.dataType)) for f in meta.episode_schema([*features, *_generated()])])
+    bare, place = pa.schema([f for f in schema if f.name not in PLACE]), pa.schema([f for f in schema if f.name in PLACE])
+    limit, step = own.data_files_size_in_mb * 1024 * 1024, own.metadata_buffer_size
+    where = lambda number: dict(zip(PLACE, (number // own.chunks_size, number % own.chunks_size), strict=True))
+    rows = rows.withColumn("_group", F.floor(F.col("episode_index") / step).cast("bigint"))
+
+    def measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, table in _runs(parts, "_group"):
+            told = [e for p in table.to_batches() for e in _entries(p, features, videos, own)]
+            yield pa.RecordBatch.from_pylist([{"_group": group, "n": len(told), "bytes": _group_bytes(told, bare)}], pa.schema([("_group", pa.int64()), ("n", pa.int64()), ("bytes", pa.int64())]))
+
+    def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size, n, more = 0, 4, 0, {}  # a file begins with four bytes
+        for part in parts:
+            out = []
+            for rows_, bytes_ in zip(part.column("n").to_pylist(), part.column("bytes").to_pylist(), strict=True):
+                if n and size >= limit / (1.0 + 1.0 / n):
+                    number, size, n = number + 1, 4, 0
+                if (number, rows_) not in more:
+                    more = {(number, rows_): _group_bytes([where(number)] * rows_, place)}
+                size, n = size + bytes_ + more[(number, rows_)], n + rows_
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([part.column("_group"), pa.array(out, pa.int64())], ["_group", "_file"])
+
+    def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, writer, draft, path, n = None, None, "", "", 0
+
+        def close() -> pa.RecordBatch:
+            writer.close()
+            os.replace(draft, path)
+            return pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+        for _, table in _runs(parts, "_group"):
+            file = table.column("_file")[0].as_py()
+            if file != now:
+                if writer is not None:
+                    yield close()
+                path = os.path.join(staging, _place(EPISODE_PATH, file, own.chunks_size))
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                draft = f"{path}.{uuid.uuid4().hex}"
+                writer, now, n = pq.ParquetWriter(draft, schema, compression="snappy"), file, 0
+            told = [e | where(file) for p in table.to_batches() for e in _entries(p, features, videos, own)]
+            writer.write_table(pa.Table.from_pylist(told, schema))
+            n += len(told)
+        if writer is not None:
+            yield close()
+
+    sized = rows.repartition("_group").sortWithinPartitions("_group", "episode_index").mapInArrow(measure, "_group bigint, n bigint, bytes bigint")
+    dealt = kept(_in_order(sized, "_group").mapInArrow(deal, "_group bigint, _file bigint"), "episode-files")
+    n_files, n_groups = dealt.agg(F.max("_file"), F.count("*")).first()
+    n_files += 1
+    placed = rows.join(dealt, "_group").repartition(_tasks(spark, n_files, n_groups * step * len(schema) * 16), "_file").sortWithinPartitions("_file", "_group", "episode_index")
+    wrote = placed.mapInArrow(write, "n bigint").agg(F.count("*")).first()[0]
+    if wrote != n_files:
+        raise DatasetError("episode metadata were not written in full")
+
+
+def _write_tasks(staging: str):
     column = lambda name, kind, numpy: {"name": name, "field_name": name, "pandas_type": kind, "numpy_type": numpy, "metadata": None}
     about = {
         "index_columns": ["task"],
@@ -548,7 +702,28 @@ def _write_tasks(tasks: list[str], staging: str) -> None:
         "attributes": {},
     }
     schema = pa.schema([("task_index", pa.int64()), ("task", pa.string())]).with_metadata({"pandas": json.dumps(about)})
-    pq.write_table(pa.table([list(range(len(tasks))), tasks], schema=schema), f"{staging}/meta/tasks.parquet")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, held, n = f"{staging}/meta/tasks.parquet", [], 0
+        draft = f"{path}.{uuid.uuid4().hex}"
+        with pq.ParquetWriter(draft, schema) as w:
+
+            def flush() -> int:
+                table = pa.Table.from_batches(held).select(schema.names).combine_chunks()
+                w.write_table(pa.table([c.cast(f.type) for c, f in zip(table.columns, schema, strict=True)], schema=schema))
+                held.clear()
+                return table.num_rows
+
+            for part in parts:
+                held.append(part)
+                if sum(p.num_rows for p in held) >= TASK_ROWS:
+                    n += flush()
+            if held:
+                n += flush()
+        os.replace(draft, path)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return run
 
 
 def _quantizer(own: Options) -> dict:

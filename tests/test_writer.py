@@ -182,6 +182,31 @@ def test_bad_options(option):
         writer.Options(**({"fps": 10} | option))
 
 
+def test_no_row_an_episode_reaches_the_driver(spark, tmp_path, monkeypatch):
+    n = 120
+    rows = spark.range(2 * n).select(F.floor(F.col("id") / 2).alias("episode_index"), F.concat(F.lit("t"), F.floor(F.col("id") / 6)).alias("task"), F.col("id").cast("int").alias("o"), F.array(F.rand(1).cast("float"), F.rand(2).cast("float")).alias("state"), F.rand(3).cast("float").alias("action"))
+    collect, make, seen = type(rows).collect, type(spark).createDataFrame, []
+    monkeypatch.setattr(type(rows), "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: seen.append(list(data)) or make(self, data, *a, **k))
+    told = write(rows, tmp_path / "d", data_files_size_in_mb=0.02, chunks_size=2, metadata_buffer_size=7)
+    monkeypatch.undo()
+    assert seen and max(map(len, seen)) <= 20 and (told["total_episodes"], told["total_frames"], told["total_tasks"]) == (n, 2 * n, n // 3)
+    ds = Dataset(spark, str(tmp_path / "d"))
+    got = ds.episodes(filename=True).orderBy("episode_index").collect()
+    assert [(r["episode_index"], r["tasks"], r["dataset_from_index"]) for r in got] == [(e, [f"t{e // 3}"], 2 * e) for e in range(n)]
+    # Each row names its own file; files are full when they are left, at multiples of the buffer.
+    place = [(r["meta/episodes/chunk_index"], r["meta/episodes/file_index"]) for r in got]
+    assert [r["filename"] for r in got] == [f"{tmp_path}/d/meta/episodes/chunk-{c:03d}/file-{f:03d}.parquet" for c, f in place]
+    assert place == sorted(place) and len(set(place)) > 2 and all(i % 7 == 0 for i in range(1, n) if place[i] != place[i - 1])
+    for name in sorted({r["filename"] for r in got})[:-1]:
+        groups = pq.ParquetFile(name).metadata
+        sizes = [sum(groups.row_group(i).column(j).total_compressed_size for j in range(groups.num_columns)) for i in range(groups.num_row_groups)]
+        full = lambda k: 4 + sum(sizes[:k]) >= 0.02 * 1024 * 1024 / (1 + 1 / (7 * k))  # noqa: B023, E731
+        assert full(len(sizes)) and not any(full(k) for k in range(1, len(sizes)))
+    whole = json.load(open(tmp_path / "d/meta/stats.json"))
+    assert whole["index"]["max"] == [2 * n - 1] and whole["action"]["count"] == [2 * n] and list(whole) == ["state", "action", "timestamp", "frame_index", "episode_index", "index", "task_index"]
+
+
 def test_plans():
     assert writer.shard_plan([10] * 6, [1] * 6, 25) == [0, 0, 1, 1, 2, 2]
     assert writer.segment_plan([10, 10, 30, 1], 25) == [0, 0, 1, 2]
