@@ -12,13 +12,26 @@ from ..scratch import kept
 from .temporal import first_problem, guard, text
 
 
-def matches(keys: DataFrame, frames: DataFrame) -> DataFrame:
+#: Frames that one task sorts, about, where their number is told.
+TASK_ROWS = 1_000_000
+
+
+def matches(keys: DataFrame, frames: DataFrame, rows: int = 0) -> DataFrame:
     """(episode_index, frame_index, timestamp, matches) of each distinct key of keys.
 
     Frames are joined before they are cast, so unreadable frames that nothing asks for do no harm.
+    rows: how many keys or frames there are; beyond TASK_ROWS for each of the session's partitions
+    both are dealt to more, so the memory of a task does not grow with them. Beyond TASK_ROWS frames
+    are not broadcast, however small Spark takes their files to be.
     """
+    pieces = -(-rows // TASK_ROWS)
+    if pieces > int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        by = ["episode_index", "frame_index"]
+        keys, frames = keys.select(*by).repartition(pieces, *by), frames.select(*by, "timestamp").repartition(pieces, *by)
     wanted = keys.select("episode_index", "frame_index").distinct()
     have = frames.select(F.col("episode_index").alias("_e"), F.col("frame_index").alias("_f"), F.col("timestamp").alias("_t"))
+    if rows > TASK_ROWS:
+        have = have.hint("merge")
     joined = wanted.join(have, (F.col("episode_index") == F.col("_e")) & (F.col("frame_index") == F.col("_f")), "left")
     return joined.groupBy("episode_index", "frame_index").agg(F.min(F.col("_t").cast("double")).alias("timestamp"), F.count("_e").alias("matches"))
 

@@ -122,7 +122,7 @@ def numbered(rows: DataFrame, problem: Column, keys: list[str]) -> DataFrame:
     buckets also looks for problems, so that a bad row raises before any filter or limit hides it.
     """
     # A table, so that what the rows were joined with is not joined again by the plan that follows.
-    base = kept(rows.withColumn("_hash", F.xxhash64(*keys)), "numbered")
+    base = kept(rows, "numbered").withColumn("_hash", F.xxhash64(*keys))
     found = base.groupBy(F.pmod("_hash", F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n"), F.min(problem).alias("p")).collect()  # BUCKETS rows at most
     if bad := min((r["p"] for r in found if r["p"]), default=None):
         raise DatasetError(bad)

@@ -184,7 +184,7 @@ def q14_nearest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q15_duplicate_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that do not have exactly one frame."""
     lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("episode_index"), F.col("l_linenumber").cast("bigint").alias("frame_index"), F.col("l_quantity").alias("timestamp"))
-    return lookup.matches(lines, lines).where("matches != 1").select("episode_index", "frame_index", "matches")
+    return lookup.matches(lines, lines, lines.count()).where("matches != 1").select("episode_index", "frame_index", "matches")
 
 
 def _numeric_stats(rows: DataFrame, key: str, value: str, dtype: str) -> DataFrame:
@@ -403,7 +403,17 @@ def q33_except_all_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = ds.frames.select(F.col("event_id").alias("request_id"), "episode_index", "frame_index", F.col("event_id").alias("request_ordinal"))
     a = video.windows(ds, asked, delta_timestamps=DELTAS).select(*names)
     b = video.targets(ds, _both(ds), delta_timestamps=DELTAS).select(*names)
-    return a.exceptAll(b).agg(F.count("*").alias("only_windows")).crossJoin(b.exceptAll(a).agg(F.count("*").alias("only_targets")))
+    return _only(a, b, "request_id", "only_windows", "only_targets")
+
+
+def _only(a: DataFrame, b: DataFrame, by: str, *names: str) -> DataFrame:
+    """How many rows a EXCEPT ALL b and b EXCEPT ALL a have, from one count of how much oftener each row is in a.
+
+    Rows are moved once, by one of their columns: hardly any repeats within a task, so nothing is counted before.
+    """
+    both = a.withColumn("_n", F.lit(1)).unionAll(b.withColumn("_n", F.lit(-1)))
+    more = both.repartition(by).groupBy(*a.columns).agg(F.sum("_n").alias("n"))
+    return more.agg(*(F.coalesce(F.sum(F.greatest(n, F.lit(0))), F.lit(0)).cast("bigint").alias(name) for n, name in zip((F.col("n"), -F.col("n")), names, strict=True)))
 
 
 def _both(ds: adapters.ViewDataset) -> DataFrame:
