@@ -12,7 +12,7 @@ import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,8 @@ from . import paths
 
 #: Readers of table formats by storage name: (spark, path) -> DataFrame. Empty unless an application adds one.
 TABLE_SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: The setting of how many tasks, at most, look up the files of a reader.
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 TASKS = T.StructType([T.StructField("task_index", T.LongType()), T.StructField("task", T.StringType())])
 STATS = T.StructType([T.StructField("feature", T.StringType()), T.StructField("stats", T.StringType())])
 
@@ -171,8 +173,17 @@ class Dataset:
         for value, what in ((union_by_name, "union_by_name"), (as_string, "binary_as_string"), (filename, "filename"), (row_number, "file_row_number")):
             if value is None:
                 raise DatasetError(f"{what} must not be NULL")
-        schema = self.spark.read.option("mergeSchema", bool(union_by_name)).parquet(*(files if union_by_name else files[:1])).schema
-        return self._dress(self.spark.read.schema(schema).parquet(*files), as_string, filename, row_number, True)
+        schema = self._listed(self.spark.read.option("mergeSchema", bool(union_by_name)), files if union_by_name else files[:1]).schema
+        return self._dress(self._listed(self.spark.read.schema(schema), files), as_string, filename, row_number, True)
+
+    def _listed(self, reader: DataFrameReader, files: list[str]) -> DataFrame:
+        """The files, whose states are looked up by no more tasks than a shuffle has: else by one a file, which the driver keeps a record of."""
+        before = int(self.spark.conf.get(LISTING))
+        self.spark.conf.set(LISTING, min(before, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)))
+        try:
+            return reader.parquet(*files)
+        finally:
+            self.spark.conf.set(LISTING, before)
 
     def _dress(self, df: DataFrame, as_string: bool, filename: bool | str, row_number: bool, stored: bool) -> DataFrame:
         own = [f.name for f in df.schema]
@@ -225,7 +236,7 @@ class Dataset:
 
     def routes(self) -> DataFrame:
         """(episode_index, length, chunk_index, file_index) per episode; checked when the data component loads."""
-        df = self.spark.read.parquet(*self._episode_files())
+        df = self._listed(self.spark.read, self._episode_files())
         return df.select(*(col(a).cast("bigint").alias(b) for a, b in (("episode_index", "episode_index"), ("length", "length"), ("data/chunk_index", "chunk_index"), ("data/file_index", "file_index"))))
 
     def data_files(self) -> dict[tuple[int, int], str]:
@@ -264,7 +275,7 @@ class Dataset:
 
     def _video_rows(self, info: meta.Info) -> DataFrame:
         """(episode_index, length, video_key, chunk_index, file_index, from_timestamp, to_timestamp): wide to long, before checks."""
-        df = self.spark.read.parquet(*self._episode_files())
+        df = self._listed(self.spark.read, self._episode_files())
         kinds = (("chunk_index", "bigint"), ("file_index", "bigint"), ("from_timestamp", "double"), ("to_timestamp", "double"))
         routes = F.array(*(F.struct(F.lit(f.name).alias("video_key"), *(col(f"videos/{f.name}/{c}").cast(t).alias(c) for c, t in kinds)) for f in info.videos))
         long = df.select(col("episode_index").cast("bigint").alias("episode_index"), col("length").cast("bigint").alias("length"), F.explode(routes).alias("r"))

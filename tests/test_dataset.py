@@ -4,10 +4,12 @@ import random
 import pytest
 from helpers import KEYS, info, made, write
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from framestride.errors import DatasetError
 from framestride.sources.dataset import Dataset, binary_as_string
 from framestride.sources.info import parse
+from framestride.sources.writer import write_dataset
 
 
 @pytest.fixture(params=[3, 14])
@@ -124,6 +126,24 @@ def test_cache(ds, model):
     assert {r["root"] for r in Dataset(ds.spark, "/not/there").cache_info().collect()} == {"/not/there"}
 
 
+def test_many_files_are_not_looked_up_by_a_task_each(spark, tmp_path):
+    n, conf = 40, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    rows = spark.range(n).select(F.col("id").alias("episode_index"), F.lit("t").alias("task"), F.col("id").cast("int").alias("o"), F.col("id").cast("float").alias("action"))
+    write_dataset(rows, str(tmp_path / "d"), features={"action": {"dtype": "float32", "shape": [1]}}, order_by="o", fps=10, data_files_size_in_mb=1e-6, metadata_buffer_size=1)
+    made, before, tracker = Dataset(spark, str(tmp_path / "d")), spark.conf.get(conf), spark.sparkContext.statusTracker()
+    assert len(list((tmp_path / "d/meta/episodes").rglob("*.parquet"))) == n
+    spark.sparkContext.setJobGroup("looked-up", "files of a dataset")
+    try:
+        frames, episodes = made.scan(), made.episodes()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("looked-up")]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tasks = [tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds if tracker.getStageInfo(s)]
+    assert tasks and max(tasks) <= 4 and spark.conf.get(conf) == before
+    assert len(frames.inputFiles()) == n and len(episodes.inputFiles()) == n
+    assert sorted(r["action"] for r in frames.collect()) == list(range(n)) and episodes.count() == n
+
+
 def test_a_changed_info_is_noticed(ds, model):
     assert ds.scan().count() == len(model.frames)
     info(model.root, **json.load(open(f"{model.root}/meta/info.json")) | {"total_frames": 987654})
